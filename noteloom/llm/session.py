@@ -1,0 +1,9 @@
+"""A local session for tests and hand runs."""
+
+from pyspark.sql import SparkSession
+
+
+def local(cores: int = 8, partitions: int = 8) -> SparkSession:
+    spark = SparkSession.builder.master(f"local[{cores}]").config(map={"spark.sql.shuffle.partitions": partitions, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}).getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
