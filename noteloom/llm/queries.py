@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, line_dedup, near_dedup, suffix_dedup
 from ._shared import table
 
 
@@ -14,8 +14,27 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_suffix_dedup": suffix_dedup.SQL,
+    "op8_line_dedup": line_dedup.SQL,
+    "op10_decontaminate": decontaminate.SQL,
+}
