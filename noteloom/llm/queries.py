@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, suffix_dedup
+from . import decontaminate, embedding_dedup, license_scan, line_dedup, near_dedup, packing, pii, quality, suffix_dedup
 from ._shared import table
 
 
@@ -14,27 +14,53 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.findings(table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_pii": op2_pii,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_packing": op4_packing,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op9_license_scan": license_scan.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
