@@ -4,10 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.llm import near_dedup
+from noteloom.llm import decontaminate, near_dedup, packing, pii, quality
 from noteloom.llm._shared import cut, table
 
-STAGES = []
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near-dedup", keep_one_of_each),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", redact),
+    ("best-fit packing", pack),
+]
 
 #: No SQL: the classifier's vectors and the packing have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
