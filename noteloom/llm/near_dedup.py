@@ -6,11 +6,11 @@
 2. Inverted lists of retained values generate overlaps. A pair whose union
    sketch shows the least admitted similarity shares at least
    ``ceil(e * s)`` of the s values of each side, so each document lists only
-   its ``s - ceil(e * s) + 1`` rarest values (document frequency, then value);
-   that loses no admitted pair, and passages that many documents share come last.
+   its ``s - ceil(e * s) + MEETINGS`` rarest values (document frequency, then value);
+   an admitted pair meets in MEETINGS lists then, and passages that many documents share come last.
 3. In each list the most central member meets all others; then, over lists
    whose members are still in several groups, the pairs across groups
-   meet too. Members of one group need no further comparison: the groups come
+   meet too, if they do so often enough and where their sizes say. Members of one group need no further comparison: the groups come
    out the same, and a group of n copies costs about n comparisons.
 4. Union-sketch estimates filter pairs; exact Jaccard similarity verifies them.
 5. Groups are the connected components.
@@ -35,6 +35,8 @@ K = 64
 THRESHOLD = 0.6
 #: The estimate's standard deviation at the threshold is 0.061; 2.5 of them below it are admitted to verification.
 SLACK = 0.15
+#: A pair across groups must meet in so many lists; each document lists as many values more.
+MEETINGS = 4
 #: Edges that the driver may join at once; more are joined on the cluster.
 DRIVER_EDGES = 2_000_000
 #: A sketch value in more than this share of the documents has its frequency handed out by broadcast (at most K / share values).
@@ -78,11 +80,14 @@ def admitted(s: int | np.ndarray, threshold: float, slack: float):
 
 _PAIR = np.dtype([("v", "u8"), ("doc", "i8")])
 _FREQ = np.dtype([("doc", "i8"), ("v", "u8"), ("df", "i8")])
-_LIST = np.dtype([("v", "u8"), ("doc", "i8"), ("central", "f8")])
+_LIST = np.dtype([("v", "u8"), ("doc", "i8"), ("central", "f8"), ("place", "i4"), ("s", "i4"), ("n", "i4")])
 
 
 def lists(reps: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """(v, doc, central): the inverted lists with at least two members, made of every document's rarest values."""
+    """(v, doc, central, place, s, n): the inverted lists with at least two members, made of every document's rarest values.
+
+    place: the value's rank among the document's s, rarest first; n: the size of its shingle set.
+    """
     spark = reps.sparkSession
     n = S.buckets(spark)
     total = reps.count()
@@ -136,12 +141,13 @@ def lists(reps: DataFrame, threshold: float, slack: float) -> DataFrame:
         p = S.Packer(n)
         for b in batches:
             docs, sizes, flat = _flat(b)
+            whole = b.column("n").to_numpy(zero_copy_only=False).astype(U64)
             hv, hd = hot.value
             own = np.repeat(docs, sizes)
             i = np.minimum(np.searchsorted(hv, flat), max(len(hv) - 1, 0))
             is_hot = (hv[i] == flat) if len(hv) else np.zeros(len(flat), bool)
             rec = np.empty(int(is_hot.sum()) + len(docs), _FREQ)
-            rec["doc"][: len(docs)], rec["v"][: len(docs)], rec["df"][: len(docs)] = docs, sizes, 0  # df 0: the sketch's size
+            rec["doc"][: len(docs)], rec["v"][: len(docs)], rec["df"][: len(docs)] = docs, sizes.astype(U64) | whole << U64(16), 0  # df 0: the sizes of sketch and set
             rec["doc"][len(docs) :], rec["v"][len(docs) :] = own[is_hot], flat[is_hot]
             rec["df"][len(docs) :] = hd[i[is_hot]] if len(hv) else 0
             yield from p.add((rec["doc"] % n).astype(U64), rec)
@@ -150,14 +156,16 @@ def lists(reps: DataFrame, threshold: float, slack: float) -> DataFrame:
     def rarest(rec):  # per document: how many of its rarest values are listed, and which of them have company
         rec = rec[np.lexsort((rec["v"], rec["df"], rec["doc"]))]
         at, size = S.groups(rec["doc"])
-        s = rec["v"][at].astype(np.int64)  # the df 0 record comes first
+        s, whole = (rec["v"][at] & U64(0xFFFF)).astype(np.int64), (rec["v"][at] >> U64(16)).astype(np.int64)  # the df 0 record comes first
         shared = size - 1
-        take = np.clip(admitted(s, threshold, slack) - (s - shared), 0, shared)
+        take = np.clip(admitted(s, threshold, slack) + MEETINGS - 1 - (s - shared), 0, shared)
         pos = np.arange(len(rec)) - np.repeat(at, size)
         keep = (pos >= 1) & (pos <= np.repeat(take, size))
         central = np.repeat(np.add.reduceat(rec["df"].astype(np.float64), at) if len(at) else np.zeros(0), size)
         out = np.empty(int(keep.sum()), _LIST)
         out["v"], out["doc"], out["central"] = rec["v"][keep], rec["doc"][keep], central[keep]
+        out["place"] = (pos + np.repeat(s - shared, size))[keep]
+        out["s"], out["n"] = np.repeat(s, size)[keep], np.repeat(whole, size)[keep]
         parts = list(S.pack((out["v"] % U64(n)).astype(np.int32), out))
         return pa.Table.from_batches(parts) if parts else pa.table({"bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
 
@@ -165,26 +173,54 @@ def lists(reps: DataFrame, threshold: float, slack: float) -> DataFrame:
         rec = rec[np.lexsort((rec["doc"], rec["v"]))]
         _, size = S.groups(rec["v"])
         rec = rec[np.repeat(size, size) > 1]
-        return pa.table({"v": rec["v"].view(np.int64), "doc": rec["doc"], "central": rec["central"]})
+        return pa.table({"v": rec["v"].view(np.int64), **{x: rec[x] for x in ("doc", "central", "place", "s", "n")}})
 
     freq = S.by_bucket(reps.mapInArrow(spread, S.PACKED), frequencies, _PAIR, S.PACKED)
     freq = freq.unionByName(reps.mapInArrow(hot_part, S.PACKED))
     listed = S.by_bucket(freq, rarest, _FREQ, S.PACKED)
-    return S.by_bucket(listed, members, _LIST, "v long, doc long, central double")
+    return S.by_bucket(listed, members, _LIST, "v long, doc long, central double, place int, s int, n int")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """Each list's most central member (then the lowest id) with each other member."""
+def hub_pairs(members: DataFrame, meetings: int = 1) -> DataFrame:
+    """Each list's most central member (then the lowest id) with each other member, if they meet so in enough lists."""
     hub = members.groupBy("v").agg(F.max(F.struct("central", (-F.col("doc")).alias("id"))).alias("hub"))
     both = members.join(hub, "v").select((-F.col("hub.id")).alias("h"), "doc").filter("h <> doc")
-    return both.select(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b")).distinct()
+    return both.groupBy(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b")).count().filter(F.col("count") >= meetings).select("a", "b")
+
+
+def counted_pairs(members: DataFrame, labels: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """Pairs in different groups that meet often enough, early enough, and are near enough in size.
+
+    Sets of n and r * n shingles (r at most 1) that are similar enough share a part
+    f = t / (1 + t) * (1 + r) of the larger one, so of its s sketch values about s * f are in both sketches;
+    o is that less 2.5 standard deviations, and at least what admission asks of either sketch. Then at least MEETINGS values are in both
+    documents' first s - o + MEETINGS ones (all that are shared, if o is less).
+    """
+    m = _mixed(members, labels)
+    a = m.select("v", *(F.col(x).alias(f"{x}_a") for x in ("doc", "label", "place", "s", "n")))
+    b = m.select("v", *(F.col(x).alias(f"{x}_b") for x in ("doc", "label", "place", "s", "n")))
+    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    f = F.lit(threshold / (1 + threshold)) * (1 + low / high)
+    s = F.when(F.col("n_a") >= F.col("n_b"), F.col("s_a")).otherwise(F.col("s_b"))
+    asked = F.ceil((threshold - slack) * F.greatest("s_a", "s_b") - 1e-9)
+    o = F.greatest(F.lit(1), asked, F.ceil(s * f - 2.5 * F.sqrt(F.greatest(F.lit(0.0), s * f * (1 - f))) - 1e-9))
+    need = F.least(F.lit(MEETINGS), o)
+    early = (F.col("place_a") <= F.col("s_a") - o + need) & (F.col("place_b") <= F.col("s_b") - o + need)
+    both = a.join(b, "v").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & (low >= high * threshold - 1e-9) & early)
+    met = both.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("met"), F.min(need).alias("need"))
+    return met.filter("met >= need").select("a", "b")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their groups, of the lists that hold several groups."""
+    m = members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    mixed = m.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("v")
+    return m.join(mixed, "v", "left_semi")
 
 
 def cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of one list in different groups."""
-    m = members.join(labels.withColumnRenamed("id", "doc"), "doc", "left").select("v", "doc", F.coalesce("label", "doc").alias("label"))
-    mixed = m.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("v")
-    m = m.join(mixed, "v", "left_semi")
+    m = _mixed(members, labels).select("v", "doc", "label")
     n = m.select("v", F.col("doc").alias("b"), F.col("label").alias("lb"))
     return m.select("v", F.col("doc").alias("a"), F.col("label").alias("la")).join(n, "v").filter("a < b and la <> lb").select("a", "b").distinct()
 
@@ -279,9 +315,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, k: int = K, thresho
     rep = S.cut(one.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = S.cut(one.join(rep.select("sig", F.col("rep").alias("doc_id")), ["doc_id", "sig"], "left_semi"))
     members = S.cut(lists(reps, threshold, slack))
-    edges = verified(hub_pairs(members), reps, docs, shingle, k, threshold, slack, repeated)
+    edges = verified(hub_pairs(members, 2), reps, docs, shingle, k, threshold, slack, repeated)
     labels = S.cut(components(edges, driver_edges))
-    rest = S.cut(cross_pairs(members, labels))
+    rest = S.cut(counted_pairs(members, labels, threshold, slack))
     S.drop(members)
     if not rest.isEmpty():
         more = verified(rest, reps, docs, shingle, k, threshold, slack, repeated)
