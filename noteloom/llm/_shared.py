@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A join side is broadcast when it has no more rows than this; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Rows with texts in one Arrow batch.
+BATCH_ROWS = 1000
 _own: dict[str, str] = {}
 
 
@@ -48,6 +50,14 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def texts(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python in batches of at most BATCH_ROWS: long texts make large batches. A lower setting of the session stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,6 +11,7 @@ case kept. A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ SOLID = np.zeros(256, bool)
 SOLID[33:] = True
 
 _tables: dict[int, np.ndarray] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -64,6 +66,14 @@ def blocks(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back, so that a worker that is used again doesn't keep what an earlier stage needed."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def raw(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:

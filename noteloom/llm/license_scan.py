@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import texts
 from ._text import U64, Grid, blocks
 
 MARKS = ".!?;:,()\"\n"
@@ -174,7 +175,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tup
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["doc_id", "licence", "start_word", "end_word"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    read = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     return read.mapInArrow(run, "doc_id long, licence string, start_word int, end_word int").distinct()
 
 

@@ -43,7 +43,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     at += len(line) + 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["digest", "doc_id", "unit", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "digest binary, doc_id long, unit int, start int, end int")
+    return S.texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "digest binary, doc_id long, unit int, start int, end int")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

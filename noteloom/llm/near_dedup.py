@@ -63,7 +63,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
                     off = np.cumsum([0, *map(len, sk)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sk)))], ["doc_id", "sig", "n", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, sig binary, n int, sketch array<long>")
+    return S.texts(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, sig binary, n int, sketch array<long>")
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

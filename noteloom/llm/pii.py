@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _shared as S
+from ._text import tidy
+
 PRIORITY = ("SECRET", "KEY", "URL", "EMAIL", "IBAN", "IP", "CARD", "PHONE", "SSN")
 CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access key", "auth", "bearer")
 PREFIXES = {"AKIA": (20, 20), "ASIA": (20, 20), "ghp_": (40, 40), "gho_": (40, 40), "xoxb-": (20, 80), "xoxp-": (20, 80), "sk_live_": (24, 64), "AIza": (39, 39)}
@@ -378,7 +381,7 @@ def findings(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(kind)], ["doc_id", "start", "end", "kind"])
 
     schema = "doc_id long, start int, end int, kind string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema).distinct()
+    return S.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema).distinct()
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -393,8 +396,9 @@ def redact(docs: DataFrame) -> DataFrame:
             columns = [*batch.columns]
             columns[i] = texts.cast(columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            tidy()
 
-    out = docs.mapInArrow(run, schema)
+    out = S.texts(docs).mapInArrow(run, schema)
     if "n_chars" in names:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull() & F.col("n_chars").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame, features: int = FEATURES) -> tuple[int
                 n += len(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, features, dtype=np.int32)), pa.array(np.concatenate([[n], total]))], ["feature", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+    found = S.texts(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(features + 1, np.int64)
     df[found.feature.to_numpy() + 1] = found.n.to_numpy()
     return int(df[0]), df[1:]
@@ -194,4 +194,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
             for b in blocks(batch, "text"):
                 yield b.filter(_score(b, shared.value)[1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return S.texts(docs).mapInArrow(run, docs.schema)

@@ -66,7 +66,7 @@ def _row_of(grid: Grid) -> np.ndarray:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    return S.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
 
 def first_pass(docs: DataFrame, threshold: int, digit: int) -> DataFrame:

@@ -297,7 +297,7 @@ def hits(column: pa.Array, language: Language, memo: dict[str, str], features: n
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return S.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
