@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -43,6 +45,19 @@ def vault(spark, tmp_path):
     engine.close()
 
 
+#: Many small jobs, several minutes.
+slow = pytest.mark.skipif(not os.environ.get("NOTELOOM_SLOW"), reason="set NOTELOOM_SLOW to run the long scenarios")
+
+
+def test_sync_and_search(vault):
+    root, engine, config = vault
+    assert engine.sync() == {"added": 2}
+    assert engine.search("crane containers").results.first().citation == "a.md — Harbour log > Cranes"
+    with pytest.raises(Locked):
+        Engine(engine.spark, config.store, config)
+
+
+@slow
 def test_life_of_a_vault(spark, vault, tmp_path):
     root, engine, config = vault
     assert engine.search("crane").results.count() == 0
@@ -94,6 +109,7 @@ class Broken(P.HashEmbedder):
         return super().embed(texts)
 
 
+@slow
 def test_failures_and_migrations(spark, vault, tmp_path):
     root, engine, config = vault
     engine.close()
