@@ -77,23 +77,47 @@ def knn_per_query(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     v = vectors.filter(F.col(column).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(4 * parts)).alias("part")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))).alias("vectors"))
 
     def matrix(items):
-        return np.array([x["id"] for x in items], np.int64), np.array([x["v"] for x in items], np.float64)
+        rows = items.values
+        parts, size = rows.field("v"), len(rows)
+        flat = parts.flatten().to_numpy(zero_copy_only=False)
+        if size and (len(flat) % size or (np.diff(parts.offsets.to_numpy()) != len(flat) // size).any()):
+            raise ValueError("vectors differ in dimension")
+        return rows.field("id").to_numpy(), flat.reshape(size, -1)
 
     def run(batches):
         for batch in batches:
-            for qs, vs in zip(batch.column("queries").to_pylist(), batch.column("vectors").to_pylist()):
+            for qs, vs in zip(batch.column("queries"), batch.column("vectors")):
                 qi, qm = matrix(qs)
                 vi, vm = matrix(vs)
-                d = np.round(pairwise(qm, vm, metric), DECIMALS)
-                n = min(k, len(vi))
-                order = np.lexsort((np.broadcast_to(vi, d.shape), d), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(vi[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], [query_key, key, "distance"])
+                row, col, d = nearest(qm, vm, vi, k, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(vi[col]), pa.array(d)], [query_key, key, "distance"])
 
     best = q.crossJoin(v).mapInArrow(run, f"{query_key} long, {key} long, distance double")
     rank = F.row_number().over(W.partitionBy(query_key).orderBy("distance", key))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, rounded distance) of each query's k best; equal distances go by id."""
+    n = min(k, len(v))
+    if metric != "l2" or not n or not (np.isfinite(q).all() and np.isfinite(v).all()):
+        d = np.round(pairwise(q, v, metric), DECIMALS)
+        col = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :n]
+        return np.repeat(np.arange(len(q)), n), col.ravel(), np.take_along_axis(d, col, 1).ravel()
+    # A matrix product is inexact for near vectors: it only chooses what is then computed from the differences.
+    qq, vv = (q * q).sum(1), (v * v).sum(1)
+    square = qq[:, None] + vv[None] - 2 * q @ v.T
+    slack = 8 * (q.shape[1] + 4) * np.finfo(np.float64).eps * (qq + vv.max())
+    most = (np.sqrt(np.maximum(0, np.partition(square, n - 1, axis=1)[:, n - 1] + slack)) + 2 * 10.0**-DECIMALS) ** 2 + slack
+    row, col = np.nonzero(square <= most[:, None])
+    d = np.concatenate([((q[row[i : i + 65536]] - v[col[i : i + 65536]]) ** 2).sum(1) for i in range(0, len(row), 65536)])
+    d = np.round(np.sqrt(d), DECIMALS)
+    order = np.lexsort((ids[col], d, row))
+    row, col, d = row[order], col[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[keep], col[keep], d[keep]
+
+
 def pairwise(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l1":
         return np.abs(q[:, None] - v[None]).sum(2)

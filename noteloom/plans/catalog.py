@@ -371,6 +371,12 @@ def knn_per_query(spark, sf):
     return knn.knn_per_query(v, v.filter("label = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
 
 
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.e, b.e), 9) AS distance, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 9), b.vec_id) AS INTEGER) AS rank FROM v a, v b QUALIFY rank <= 5")
+def knn_per_query_all(spark, sf):
+    v = _vectors(spark, sf)
+    return knn.knn_per_query(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+
+
 @query(_PAIRS + "SELECT vec_id, distance, round(1 / (1 + distance), 9) AS similarity, CASE WHEN 1 / (1 + distance) >= 0.92 THEN 'same' WHEN 1 / (1 + distance) >= 0.75 THEN 'ask' ELSE 'new' END AS decision FROM (SELECT vec_id, round(list_distance(e, q), 9) AS distance FROM v, q ORDER BY distance, vec_id LIMIT 10)")
 def entity_similarity(spark, sf):
     s = knn.similarity(F.col("distance"))
