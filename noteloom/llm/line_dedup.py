@@ -1,7 +1,8 @@
 """Substring dedup by hashing lines.
 
 Each line is a unit, normalised by lower-casing and by making every run of white
-space one space. Units of at least MIN_WORDS words are grouped by digest over
+space one space. Units of at least min_words words (MIN_WORDS, or 1 for every line
+that isn't empty) are grouped by digest over
 the whole corpus; the earliest in (doc_id, unit) order stays and the others are
 removed, with the character offsets of the original text retained.
 
@@ -86,3 +87,6 @@ WITH lines AS (
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS INTEGER) AS "start", CAST(stop AS INTEGER) AS "end", kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit
 FROM ranked WHERE place > 1
 """
+
+#: The same for all lines that aren't empty.
+SQL_ALL = SQL.replace(f">= {MIN_WORDS}", ">= 1")

@@ -3,6 +3,7 @@
 import numpy as np
 import oracle
 
+from noteloom.llm import line_dedup, queries
 from noteloom.operators import knn
 from noteloom.plans import catalog
 
@@ -29,3 +30,16 @@ def test_large_blocks_give_exact_distances():
         order = np.lexsort((ids, whole))[:3]
         assert list(col[row == i]) == list(order) and list(d[row == i]) == list(whole[order])
     assert (d[np.arange(0, len(d), 3)] == 0).all()
+
+
+def test_short_lines_are_grouped(spark):
+    rows = [(1, "of, edti oner.\nA long line of seven words here\n\nBy."), (2, "Of,  EDTI oner.\n\na long line of seven words here"), (3, "by.\nby. "), (4, None), (None, "By.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.unit, r.start, r.end, r.kept_doc_id, r.kept_unit) for r in line_dedup.repeated_units(docs, min_words=1).collect()}
+    assert got == {(2, 0, 0, 15, 1, 0), (2, 2, 17, 48, 1, 1), (3, 0, 0, 3, 1, 3), (3, 1, 4, 8, 1, 3)}
+
+
+def test_short_lines_equal_their_sql(spark):
+    got = oracle.of_spark(queries.QUERIES["op8_line_dedup_all"](spark, oracle.SF))
+    assert got == oracle.of_sql(queries.SQL["op8_line_dedup_all"])
+    assert len(got[1]) > queries.QUERIES["op8_line_dedup"](spark, oracle.SF).count()
