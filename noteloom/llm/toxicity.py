@@ -2,11 +2,12 @@
 
 1. A character language model (four letters deep, interpolated) is counted over the words of all
    documents.
-2. Tokens that the channel could have changed - signs or digits among letters, letters
-   repeated three times, letters set apart by spaces or marks - become character lattices: each sign
+2. Tokens that the channel could have changed - signs or digits of LEET in a token with letters, or other
+   such signs side by side, letters repeated three times, single letters or signs set apart by any number of
+   spaces or marks - become character lattices: each sign
    may stand for a letter, for nothing or for a word's end, each repetition for one, two or all its letters. The
-   Viterbi path under the model and the channel's costs is the restored text. Every other token
-   has a lattice of one path, which is itself, and needs no search.
+   Viterbi path under the model and the channel's costs is the restored text. A number, without letters or
+   other signs, is taken as it is. Every other token has a lattice of one path, which is itself, and needs no search.
 3. Restored words are scored by their beginnings of 4 to 8 bytes (the word's end counts as one), so inflected forms
    count too. The beginnings are learnt from at most SAMPLE labelled documents of each class,
    near copies left out: kept are those whose toxic share has a lower confidence bound of LEAST_SHARE at least, the
@@ -25,6 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +50,12 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _ASCII = np.zeros(256, bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
-_STRONG = np.zeros(256, bool)
-_STRONG[[ord(c) for c in "01345789@$"]] = True
-_WEAK = np.zeros(256, bool)
-_WEAK[[ord(c) for c in "01345678 9@$!|+(".replace(" ", "")]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
+#: Signs of LEET: those of one byte, and the bytes of the others.
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in LEET if c.isascii()]] = True
+_WIDE = [np.frombuffer(c.encode(), np.uint8) for c in LEET if not c.isascii()]
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".-_*~/'`"]] = True
 
@@ -199,50 +203,83 @@ def restore(token: str, language: Language) -> str:
     return " ".join("".join(reversed(out)).split())
 
 
+def _spans(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a mask, each within its row."""
+    size = len(mask)
+    first = np.zeros(size + 1, bool)
+    first[at] = True
+    before, after = np.zeros(size, bool), np.zeros(size, bool)
+    before[1:], after[:-1] = mask[:-1], mask[1:]
+    before[first[:-1]] = False
+    after[first[1:]] = False
+    return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
+
+
+def _sums(mask: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(mask)])
+
+
 def suspects(column: pa.LargeStringArray) -> list[tuple[int, str]]:
-    """(row, token) of the tokens, or runs of spaced letters, that the channel may have changed."""
-    data, at = raw(column)
+    """(row, token) of the tokens, and of the runs of single letters or signs, that the channel may have changed."""
+    data, at = raw(pc.utf8_lower(column))
     size = len(data)
     if size < 3:
         return []
-    solid = SOLID[data]
-    first = np.zeros(size + 1, bool)
-    first[at[:-1]] = True
-    before = np.zeros(size, bool)
-    before[1:] = solid[:-1]
-    before[first[:-1]] = False
-    start = np.flatnonzero(solid & ~before)
-    after = np.zeros(size, bool)
-    after[:-1] = solid[1:]
-    after[:-1][first[1:-1]] = False
-    end = np.flatnonzero(solid & ~after) + 1
+    sign = _SIGN[data]
+    for code in _WIDE:
+        n = len(code)
+        found = np.logical_and.reduce([data[k : size - n + 1 + k] == code[k] for k in range(n)])
+        for k in range(n):
+            sign[k : size - n + 1 + k] |= found
+    letter = _LETTER[data] & ~sign
+    start, end = _spans(SOLID[data], at)
     if not len(start):
         return []
-    lower = np.where(_ASCII[data], data | 32, data)
-    hit = np.zeros(size, bool)
-    hit[:-1] |= _WEAK[data[:-1]] & _LETTER[data[1:]]
-    hit[:-1] |= _LETTER[data[:-1]] & _STRONG[data[1:]]
-    hit[:-2] |= _ASCII[data[:-2]] & (lower[:-2] == lower[1:-1]) & (lower[:-2] == lower[2:])
-    if size > 4:
-        hit[:-4] |= _LETTER[data[:-4]] & _MARK[data[1:-3]] & _LETTER[data[2:-2]] & _MARK[data[3:-1]] & _LETTER[data[4:]]
-    seen = np.concatenate([[0], np.cumsum(hit)])
-    flagged = seen[end] > seen[start]
+    has = lambda mask: (lambda n: n[end] > n[start])(_sums(mask))
+    other = sign & ~_DIGIT[data]
+    pair = np.zeros(size, bool)  # signs side by side, unless both are digits
+    pair[:-1] = sign[:-1] & sign[1:] & (other[:-1] | other[1:])
+    thrice = np.zeros(size, bool)
+    thrice[:-2] = _ASCII[data[:-2]] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
+    lead = np.flatnonzero(data >= 0xC0)
+    for n, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        i = lead[(data[lead] >= low) & (data[lead] < high) & (lead + 3 * n <= size)]
+        if len(i):
+            thrice[i] = np.logical_and.reduce([(data[i + k] == data[i + n + k]) & (data[i + k] == data[i + 2 * n + k]) for k in range(n)])
+    flagged = has(sign) & has(letter) | has(pair) | has(thrice)
     row = np.searchsorted(at, start, "right") - 1
-    # Runs of three or more tokens of one character, parted by one space each.
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    single = (chars[end] - chars[start] == 1) & (_LETTER[data[start]] | _WEAK[data[start]])
-    joined = np.zeros(len(start), bool)
-    joined[1:] = single[1:] & single[:-1] & (row[1:] == row[:-1]) & (start[1:] - end[:-1] == 1)
-    out = []
-    head = np.flatnonzero(single & ~joined)
-    tail = np.concatenate([np.flatnonzero(~joined[1:]), [len(start) - 1]])  # the last token of each run
-    tail = tail[np.searchsorted(tail, head)]
-    long_enough = tail - head >= 2
     view = memoryview(data)
-    for a, z in zip(head[long_enough], tail[long_enough]):
-        out.append((int(row[a]), bytes(view[start[a] : end[z]]).decode("utf-8", "replace")))
-    for i in np.flatnonzero(flagged):
-        out.append((int(row[i]), bytes(view[start[i] : end[i]]).decode("utf-8", "replace")))
+    text = lambda a, z: bytes(view[a:z]).decode("utf-8", "replace")
+    out = [(int(row[i]), text(start[i], end[i])) for i in np.flatnonzero(flagged)]
+    marks = _sums(_MARK[data])
+    for i in np.flatnonzero(~flagged & (marks[end] - marks[start] > 1)):
+        if _spaced(token := text(start[i], end[i])):
+            out.append((int(row[i]), token))
+    # Runs of three or more single letters or signs, or of one of them repeated, with spaces and marks between.
+    piece = letter | sign
+    head, tail = _spans(piece, at)
+    if len(head) < 3:
+        return out
+    chars, same = _sums((data & 0xC0) != 0x80), _sums(np.concatenate([[False], data[1:] == data[:-1]]))
+    single = (chars[tail] - chars[head] == 1) | (same[tail] - same[head + 1] == tail - head - 1)
+    single |= (tail - head == 2) & (_ASCII[data[head]] & (data[tail - 1] == ord("!")) | _ASCII[data[tail - 1]] & (data[head] == ord("(")))
+    row = np.searchsorted(at, head, "right") - 1
+    blank, hard = _sums(~SOLID[data]), _sums(SOLID[data] & ~_MARK[data] & ~piece)
+    joined, tight = np.zeros(len(head), bool), np.zeros(len(head), bool)
+    joined[1:] = single[1:] & single[:-1] & (row[1:] == row[:-1]) & (hard[head[1:]] == hard[tail[:-1]])
+    tight[1:] = joined[1:] & (blank[head[1:]] == blank[tail[:-1]])  # by marks alone
+    runs = set()
+    for link in (joined, tight):
+        first = np.flatnonzero(single & ~link)
+        last = np.append(np.flatnonzero(~link[1:]), len(head) - 1)
+        last = last[np.searchsorted(last, first)]
+        runs.update((int(a), int(z)) for a, z in zip(first, last) if z - a >= 2)
+    for a, z in sorted(runs):
+        gaps = head[a + 1 : z + 1] - tail[a:z]
+        wide = gaps > gaps.min()  # the least gap is within words, a wider one may be a word's end
+        parts = [text(h, t) for h, t in zip(head[a : z + 1], tail[a : z + 1])]
+        parts = [x if len(set(x)) == 1 else x.strip("!(") for x in parts]
+        out.append((int(row[a]), parts[0] + "".join(" " * (1 + int(w)) + x for w, x in zip(wide, parts[1:]))))
     return out
 
 

@@ -2,8 +2,10 @@
 
 import numpy as np
 import oracle
+import pyarrow as pa
+import pytest
 
-from noteloom.llm import line_dedup, queries
+from noteloom.llm import line_dedup, queries, toxicity
 from noteloom.operators import knn
 from noteloom.plans import catalog
 
@@ -43,3 +45,33 @@ def test_short_lines_equal_their_sql(spark):
     got = oracle.of_spark(queries.QUERIES["op8_line_dedup_all"](spark, oracle.SF))
     assert got == oracle.of_sql(queries.SQL["op8_line_dedup_all"])
     assert len(got[1]) > queries.QUERIES["op8_line_dedup"](spark, oracle.SF).count()
+
+
+HIDDEN = {
+    "idiot": ["i.d.1.0.t", "1.d.1.o.7", "i d 1 0 t", "i  d  i  o  t", "i..d..i..o..t", "i--d--1--0--+", "i. d. i. o. t.", "i d i o t!", "(i d i o t", "idio+", "id!o+", "|di0t", "IDIO+", "i - d - i - o - t", "(i.d.i.o.t)"],
+    "twit": ["twi+", "tw!+", "tw|t", "+w!+", "t.w.!.+", "t  w  !  t"],
+    "scoundrel": ["$coundr€l", "scoundre£", "s.c.0.u.n.d.r.€.£", "scoundre|"],
+    "nitwit": ["n1+w!t", "nitw1+", "n_i_t_w_i_t"],
+    "größe": ["größßße", "gröööße", "GRÖÖÖßE", "größ€"],
+}
+
+
+@pytest.mark.parametrize(("word", "hidden"), [(w, h) for w, forms in HIDDEN.items() for h in forms])
+def test_the_gate_lets_the_channel_through(word, hidden):
+    language = toxicity.Language(*toxicity.grams(("the token then toast tested best stone notes for and with from that\n" * 3 + "idiot twit scoundrel nitwit größe\n" * 5)))
+    column = pa.array(["", f"best notes, {hidden} with the token", "then"], pa.large_string())
+    found = toxicity.suspects(column)
+    assert {r for r, _ in found} == {1}
+    assert word in {toxicity.restore(t, language) for _, t in found}
+
+
+def test_the_gate_flags_what_has_several_paths():
+    rng = np.random.default_rng(3)
+    signs = [*"abit", *toxicity.LEET, *".-_*", "ä", ","]
+    for _ in range(4000):
+        token = "".join(rng.choice(signs, rng.integers(3, 8)))
+        several = any(len(x) > 1 for x in toxicity.lattice(token))
+        letters = any(c.isalpha() for c in token)
+        if several and letters:
+            assert toxicity.suspects(pa.array([token], pa.large_string())), token
+    assert not toxicity.suspects(pa.array(["plain words, in a row. 100 2015 3.14"], pa.large_string()))
