@@ -1,11 +1,13 @@
 """Jobs that once covered only a part of their input."""
 
+import textwrap
+
 import numpy as np
 import oracle
 import pyarrow as pa
 import pytest
 
-from noteloom.llm import line_dedup, queries, toxicity
+from noteloom.llm import license_scan, line_dedup, queries, toxicity
 from noteloom.operators import knn
 from noteloom.plans import catalog
 
@@ -75,3 +77,44 @@ def test_the_gate_flags_what_has_several_paths():
         if several and letters:
             assert toxicity.suspects(pa.array([token], pa.large_string())), token
     assert not toxicity.suspects(pa.array(["plain words, in a row. 100 2015 3.14"], pa.large_string()))
+
+
+_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+_BSD2 = """Copyright (c) 2020, Jo Doe. All rights reserved.
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+_FULL = {
+    "BSD-2-Clause": [_BSD2 + _DISCLAIMER],
+    "BSD-3-Clause": [_BSD2 + f"3. Neither the name of {who} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n" + _DISCLAIMER for who in ("the copyright holder", "Acme")],
+    "ISC": [f"Permission to use, copy, modify, {x} distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." for x in ("and/or", "and")],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"],
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache License\nVersion 2.0, January 2004"],
+    "GPL-3.0-or-later": [_GNU.format("GNU General Public License", ",", 3)],
+    "GPL-2.0-or-later": [_GNU.format("GNU General Public License", ";", 2)],
+    "GPL-2.0": ["under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "LGPL-2.1-or-later": [_GNU.format("GNU Lesser General Public License", ";", "2.1")],
+    "LGPL-3.0-or-later": [_GNU.format("GNU Lesser General Public License", ",", 3)],
+    "AGPL-3.0-or-later": [_GNU.format("GNU Affero General Public License", ",", 3), "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "MIT": ["This project is licensed under the MIT License - see the LICENSE file.\nMore text", "This project is licensed under the MIT License \u2014 see LICENSE", "This software is released under the terms of the MIT license."],
+    "GPL-3.0": ["This project is licensed under the GNU GPL v3.", "This software is licensed under the GNU General Public License v3.0."],
+    "LGPL-2.1-only": ["SPDX-License-Identifier: LGPL-2.1-only"],
+}
+
+
+@pytest.mark.parametrize("width", [None, 40, 72])
+@pytest.mark.parametrize(("name", "text"), [(n, t) for n, texts in _FULL.items() for t in texts])
+def test_licence_texts(name, text, width):
+    if width:
+        text = "/*\n" + "\n".join(f" * {x}" for line in text.split("\n") for x in textwrap.wrap(line, width)) + "\n */"
+    grid = license_scan.Grid(pa.array([text]))
+    found = license_scan.sentences_of(grid).get(0, [])
+    assert {x[0] for x in license_scan.licences(found, license_scan.ALL_RULES)} == {name}
+
+
+def test_what_is_no_licence_text():
+    for text in ("not released under the mit license", "permission to use, copy and modify", "mit, isc, version 3", "this is subject to the terms of the contract"):
+        found = license_scan.sentences_of(license_scan.Grid(pa.array([text]))).get(0, [])
+        assert not license_scan.licences(found, license_scan.ALL_RULES)
