@@ -3,7 +3,8 @@
 An Aho-Corasick automaton finds anchors: at-signs, schemes, digit pairs, dotted
 digits, colons, plus signs and the cues of identifiers and credentials. At each
 anchor a deterministic local parser expands left and right to the boundaries of a
-candidate and validates it. No parser looks further than its kind can be long.
+candidate and validates it. No parser looks further than its kind can be long; URLs and secrets
+may be of any length and each of their runs is parsed once.
 
 Kinds: EMAIL, URL (with user information), IP (v4, v6), PHONE (international, or
 ten digits written in groups), CARD (13 to 19 digits that pass the Luhn test), SSN,
@@ -20,6 +21,7 @@ empty table gives an empty result. Other columns are kept by redact() and not re
 from __future__ import annotations
 
 import ipaddress
+import re
 from functools import lru_cache
 
 import ahocorasick
@@ -34,9 +36,11 @@ PRIORITY = ("SECRET", "KEY", "URL", "EMAIL", "IBAN", "IP", "CARD", "PHONE", "SSN
 CUES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access key", "auth", "bearer")
 PREFIXES = {"AKIA": (20, 20), "ASIA": (20, 20), "ghp_": (40, 40), "gho_": (40, 40), "xoxb-": (20, 80), "xoxp-": (20, 80), "sk_live_": (24, 64), "AIza": (39, 39)}
 _LOCAL = frozenset("._%+-'")
-_SECRET = frozenset("_-./+=~")
 _DIGITS = frozenset("0123456789")
 _HEX = frozenset("0123456789abcdefABCDEF")
+_SECRET_END = re.compile(r"[^A-Za-z0-9_\-./+=~]")
+_URL_END = re.compile(r"[\s<>\"']")
+_DIGIT = re.compile(r"[0-9]")
 _LABEL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-")
 
 
@@ -77,15 +81,15 @@ def email(text: str, at: int):
     return a, at + 1 + len(".".join(labels)), "EMAIL"
 
 
-def url(text: str, at: int):
-    """scheme://user:password@host around the scheme's colon at ``at``."""
+def url(text: str, at: int, b: int):
+    """scheme://user:password@host around the scheme's colon at ``at``; its run ends at ``b``."""
     a = _back(text, at, lambda c: c.isascii() and (c.isalnum() or c in "+-."), 20)
     while a < at and not text[a].isalpha():
         a += 1
     if at - a < 2:
         return None
-    b = _run(text, at + 3, lambda c: not c.isspace() and c not in "<>\"'", 2048)
-    host = text[at + 3 : b].split("/", 1)[0]
+    slash = text.find("/", at + 3, b)
+    host = text[at + 3 : b if slash < 0 else slash]
     user, sign, rest = host.rpartition("@")
     if not sign or not user or not rest:
         return None
@@ -259,22 +263,34 @@ def key(text: str, at: int, prefix: str):
     return at, b, "KEY"
 
 
-def secret(text: str, at: int):
-    """The value after a cue that ends at ``at``: a separator, an optional quote, 8 to 256 characters with a digit."""
+def secret(text: str, b: int, end: int):
+    """The value after a cue, whose run is from ``b`` to ``end``: 8 or more characters with a digit."""
+    while end > b and text[end - 1] in ".=" and not (text[end - 1] == "=" and end - b > 16):
+        end -= 1
+    if end - b < 8 or not _DIGIT.search(text, b, end):
+        return None
+    return b, end, "SECRET"
+
+
+def _value(text: str, at: int, bearer: bool):
+    """Where the value after a cue that ends at ``at`` begins: behind a separator (after "bearer" a space will do) and an optional quote."""
     b = _run(text, at, lambda c: c == " ", 3)
-    if b < len(text) and text[b] in "\"'":
+    space = bearer and b > at and not (at > 6 and _word(text[at - 7]))
+    if b < len(text) and text[b] in "\"'" and not space:
         b += 1
-    if b >= len(text) or text[b] not in ":=":
+    if b < len(text) and text[b] in ":=":
+        b = _run(text, b + 1, lambda c: c in " =>", 4)
+    elif not space:
         return None
-    b = _run(text, b + 1, lambda c: c in " =>", 4)
     if b < len(text) and text[b] in "\"'`":
         b += 1
-    end = _run(text, b, lambda c: c.isascii() and (c.isalnum() or c in _SECRET), 256)
-    while end > b and text[end - 1] in ".=" and not (text[end - 1] == "=" and end - b > 16):
-        end -= 1
-    if not 8 <= end - b <= 256 or not any(c in _DIGITS for c in text[b:end]):
-        return None
-    return b, end, "SECRET"
+    return b
+
+
+def _end(stop: re.Pattern, text: str, at: int) -> int:
+    """Where the run of characters from ``at`` that aren't in ``stop`` ends."""
+    found = stop.search(text, at)
+    return found.start() if found else len(text)
 
 
 @lru_cache(maxsize=1)
@@ -297,7 +313,7 @@ def automaton() -> ahocorasick.Automaton:
         add(p, "key", p)
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            add(form, "cue")
+            add(form, "cue", cue == "bearer")
     a = ahocorasick.Automaton()
     for word, acts in found.items():
         a.add_word(word, (len(word), tuple(acts)))
@@ -308,14 +324,16 @@ def automaton() -> ahocorasick.Automaton:
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """All valid spans, overlaps included."""
     out = set()
-    digits_end = ip_end = colon_end = 0  # runs that have been parsed
+    digits_end = ip_end = colon_end = url_end = secret_end = 0  # runs that have been parsed
     for last, (size, acts) in automaton().iter(text):
         at = last - size + 1
         for kind, extra in acts:
             if kind == "email":
                 out.add(email(text, at))
             elif kind == "url":
-                out.add(url(text, at))
+                if at + 3 > url_end:
+                    url_end = _end(_URL_END, text, at + 3)
+                out.add(url(text, at, url_end))
             elif kind == "ip6":
                 if at >= colon_end:
                     out.add(ip6(text, at))
@@ -335,7 +353,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             elif kind == "key":
                 out.add(key(text, at, extra))
             else:
-                out.add(secret(text, last + 1))
+                b = _value(text, last + 1, extra)
+                if b is not None and b >= secret_end:  # a value that begins within another is part of it
+                    secret_end = _end(_SECRET_END, text, b)
+                    out.add(secret(text, b, secret_end))
     out.discard(None)
     return list(out)
 

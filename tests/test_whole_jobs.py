@@ -7,7 +7,7 @@ import oracle
 import pyarrow as pa
 import pytest
 
-from noteloom.llm import license_scan, line_dedup, queries, toxicity
+from noteloom.llm import license_scan, line_dedup, pii, queries, toxicity
 from noteloom.operators import knn
 from noteloom.plans import catalog
 
@@ -118,3 +118,28 @@ def test_what_is_no_licence_text():
     for text in ("not released under the mit license", "permission to use, copy and modify", "mit, isc, version 3", "this is subject to the terms of the contract"):
         found = license_scan.sentences_of(license_scan.Grid(pa.array([text]))).get(0, [])
         assert not license_scan.licences(found, license_scan.ALL_RULES)
+
+
+_JWT = ".".join("eyJ0" + "aB3_-x" * n for n in (6, 80, 60))
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f"token={_JWT} end", {(_JWT, "SECRET")}),
+        (f"password: '{'a1' * 5000}'", {("a1" * 5000, "SECRET")}),
+        (f"Authorization: Bearer {_JWT}\nnext", {(_JWT, "SECRET")}),
+        ("authorization: bearer abcd1234efgh", {("abcd1234efgh", "SECRET")}),
+        ("bearer: abcd1234efgh", {("abcd1234efgh", "SECRET")}),
+        ("auth: Bearer abcd1234efgh", {("abcd1234efgh", "SECRET")}),
+        ("the bearer of 12345678x, forbearer abcd1234efgh", set()),
+        (f"see ftp://joe:pw1@host.example.com/{'x/' * 3000}end now", {(f"ftp://joe:pw1@host.example.com/{'x/' * 3000}end", "URL")}),
+        ("http://a.example.com/http://joe:pw1@host.example.com/x", {("http://joe:pw1@host.example.com/x", "URL")}),
+        ("token=" * 100_000, set()),
+        ("token=" * 100_000 + "1", {("token=" * 99_999 + "1", "SECRET")}),
+        ("a://" * 100_000, set()),
+    ],
+)
+def test_long_values_are_found_whole(text, found):
+    assert {(text[a:b], k) for a, b, k in pii.find(text)} == found
+    assert not any(x in pii.redacted(text) for x, _ in found)
