@@ -5,17 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side is broadcast when it has no more rows than this; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
-#: Rows with texts in one Arrow batch.
-BATCH_ROWS = 1000
+#: A join side is broadcast when it has no more rows, and its table no more bytes, than this; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 8 << 20
+#: Bytes of one Arrow batch of rows with texts.
+BATCH_BYTES = 16 << 20
 _own: dict[str, str] = {}
+_made: list[list[DataFrame]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -37,9 +39,21 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out._noteloom_path = path
+    if _made:
+        _made[-1].append(out)
     return out
 
 
+@contextmanager
+def temporary() -> Iterator[list[DataFrame]]:
+    """The tables that cut() makes meanwhile, for drop() when nothing reads them any more."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of cut() that nothing reads any more."""
     for t in tables:
@@ -51,20 +65,39 @@ def drop(*tables: DataFrame) -> None:
 
 
 def texts(df: DataFrame) -> DataFrame:
-    """df, whose rows go to Python in batches of at most BATCH_ROWS: long texts make large batches. A lower setting of the session stays."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df, whose rows go to Python in batches of about BATCH_BYTES: rows hold whole texts, and some are very long.
+
+    Spark reads this setting when a plan runs, so it stays in the session; it decides the size of batches, not what they hold. A lower
+    setting of the session stays.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like the given one that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it is a table of cut() with few enough rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is a table of cut() of few enough rows and bytes."""
+    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a table of cut()."""
+    jvm = table.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(table._noteloom_path)
+    return at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
 def buckets(spark: SparkSession) -> int:

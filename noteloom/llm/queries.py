@@ -27,7 +27,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +42,6 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_units(table(spark, sf_dir, "documents"))
 
 
-def op8_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=1)
-
-
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -63,7 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
-    "op8_line_dedup_all": op8_line_dedup_all,
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -71,7 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op8_line_dedup": line_dedup.SQL,
-    "op8_line_dedup_all": line_dedup.SQL_ALL,
     "op9_license_scan": license_scan.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }

@@ -159,9 +159,46 @@ def test_toxicity_sees_through_the_channel(spark):
 
 
 def test_toxicity_on_the_test_labels(spark):
-    got = queries.op5_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumnRenamed("toxic", "label"), "doc_id").toPandas()
-    assert got[got.label == 0].toxic.mean() < 0.02
-    assert got[got.toxic].label.mean() > 0.8  # of the documents with toxic words, about one in eight is labelled clean here
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.scores(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "label"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert got[got.label == 0].toxic.mean() < 0.02 and got[got.label == 1].toxic.mean() > 0.85
+    for lang in ("de", "fr", "es"):  # no language is a sign of toxicity
+        assert got[(got.label == 0) & (got.lang == lang)].toxic.mean() < 0.08, lang  # some documents with toxic words are labelled clean here
+    flagged = queries.op5_toxicity(spark, sf).toPandas()
+    assert list(flagged.columns) == ["doc_id", "score"] and 0 < len(flagged) < 2000 and (flagged.score >= toxicity.THRESHOLD).all()
+
+
+def test_toxic_words_are_caught_in_every_language(spark):
+    """Planted words in four made-up languages, one of which has more toxic documents than the others."""
+    rng = np.random.default_rng(8)
+    letters = {"a": "aeinorst", "b": "bduiknm", "c": "éèeaqvl", "d": "öüäßchg"}
+    words = {k: ["".join(rng.choice(list(v), rng.integers(2, 8))) for _ in range(300)] for k, v in letters.items()}
+    bad = {"a": ["dumbhead", "scoundrel"], "b": ["nitwit", "buffoon"], "c": ["crétinal", "idiotèse"], "d": ["schurkig", "dummbatz"]}
+    text = lambda k, n=40: " ".join(rng.choice(words[k], n))
+    rows, labels, i = [], [], 0
+    for k in letters:
+        for j in range(240):
+            every = 3 if k == "c" else 8
+            toxic = j % every == 0
+            rows.append((i, f"{text(k)} {bad[k][j // every % 2]} {text(k)}" if toxic else text(k, 80)))
+            labels.append((i, int(toxic)))
+            i += 1
+    hide = [lambda w: w, str.upper, lambda w: w + "s", lambda w: " ".join(w), lambda w: ".".join(w), lambda w: w.replace("i", "1"), lambda w: w.replace("o", "0"), lambda w: w[:3] + w[3] * 4 + w[4:]]
+    planted = [(10_000 + n, f"{text(k)} {h(w)} {text(k)}") for n, (k, w, h) in enumerate((k, w, h) for k in letters for w in bad[k] for h in hide)]
+    clean = [(20_000 + n, text(k, 120)) for n, k in enumerate(list(letters) * 40)]
+    docs = spark.createDataFrame(rows + planted + clean, "doc_id long, text string")
+    found = {r.doc_id for r in toxicity.flagged(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert len(found & {i for i, _ in planted}) >= 0.95 * len(planted) and not found & {i for i, _ in clean}
+
+
+def test_long_words_and_runs_are_read_whole():
+    language = toxicity.Language(*toxicity.grams("loooong words of the text\nworthlessness worthlessly"))
+    assert any(x == "o" * 9 for x, _ in toxicity.lattice("l" + "o" * 9)[1]) and any(x == "t" * 9 for x, _ in toxicity.lattice("a" + "+" * 9)[1])
+    model = toxicity.Model(language, {b"worthlessness ": 0.9})
+    assert list(model.score(pa.array(["worthlessness", "worthlessly", None, "", "w0rthlessness"]))) == [0.9, 0, 0, 0, 0.9]
+    got = toxicity.learnt(pa.array(["worthless worthlessly", "worth"]), np.array([1, 0]), language, {}).to_pydict()
+    assert dict(zip(got["feature"], zip(got["toxic"], got["total"]))) == {b"wort": (1, 2), b"worth": (1, 2), b"worth ": (0, 1)} | {b"worthlessly "[:k]: (1, 1) for k in range(6, 13)} | {b"worthless ": (1, 1)}
 
 
 def test_viterbi_equals_all_paths():
@@ -185,7 +222,7 @@ def test_viterbi_equals_all_paths():
             if best is None or cost > best[0]:
                 best = (cost, " ".join("".join(m for m, _ in path).split()))
         assert toxicity.restore(token, language) == best[1]
-    assert abs(sum(language.p("to", x) for x in [*toxicity._ALPHABET, "?", ""]) - 1) < 1e-9
+    assert abs(sum(language.p([20, 15], x) for x in range(len(toxicity._ALPHABET) + 2)) - 1) < 1e-9
 
 
 # Pipeline
@@ -205,11 +242,31 @@ def test_pipeline_equals_its_parts(spark):
     sizes = {len(t) for t in tests}
     left = {i: t for i, t in left.items() if not any(tuple(w[p : p + n]) in tests for w in [brute.words(t)] for n in sizes for p in range(len(w) - n + 1))}
     left = {i: pii.redacted(t) for i, t in left.items()}
-    want = {i: int(packing.count_tokens(pa.array([t]))[0]) for i, t in left.items()}
+    ranks = packing.vocabulary()
+    want = {i: len(packing._encoder(ranks).encode_ordinary(t)) if ranks else int(packing.estimated(pa.array([t]))[0]) for i, t in left.items() if t}
     got = corpus_pipeline.run(spark, sf).groupBy("doc_id").sum("n_tokens").collect()
     assert {r[0]: r[1] for r in got} == {i: n for i, n in want.items() if n}
 
 
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, a very long text, and columns whose names the operators use, through all stages."""
+    good = [f"This is note {i}, which tells of the {w} and what it was for in plain words, again and again, number {i * 7}." for i, w in enumerate(["harbour", "mill", "garden", "bridge", "school", "tower", "market", "station"])]
+    long = " ".join(f"{good[i % 8]} Part {i} follows here." for i in range(4000))
+    rows = [(1, None), (2, ""), (None, good[0] + " No id."), (3, good[1]), (3, good[1]), (4, good[2] + " Mail to ann@mail.example.org."), (5, good[3]), (6, good[3].replace("note 3", "note three")), (7, long), (8, good[4] + " The answer of the secret test is forty two point five exactly."), (9, good[5])]
+    extra = ", ".join(f"{c} string" for c in ("id", "_id", "bad", "group_id", "kept", "owner", "score", "seq_id", "n_tokens", "__gone", "__bad"))
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *["x"] * 11) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (5, 1, 0), (9, 1, None), (None, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "the answer of the secret test is forty two point five exactly"), (2, None), (None, "plain words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns == docs.columns, name
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {None, 3, 4, 5, 7, 9}
+    assert sum(r.doc_id == 3 for r in got) == 1 and sum(r.n_tokens for r in got if r.doc_id == 7) > 90_000
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{oracle.SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
