@@ -45,3 +45,33 @@ def found_groups(rows, key="doc_id"):
         assert r["kept"] == (r[key] == r["group_id"])
     assert all(g == min(m) for g, m in out.items())
     return {frozenset(g) for g in out.values()}
+
+
+def plan(counts, context):
+    """Packing by trying every combination: the exact fills, as (times, lengths), and the gaps of the best-fit rest, sorted."""
+    from itertools import combinations_with_replacement
+
+    left, exact = dict(counts), []
+    fits = lambda parts: min(left.get(p, 0) // parts.count(p) for p in set(parts))
+    for n in range(context, 0, -1):
+        while left.get(n):
+            rest = None
+            for k in range(4):
+                found = [c for c in combinations_with_replacement(sorted(left, reverse=True), k) if n + sum(c) == context and fits((n, *c))]
+                if found:
+                    rest = max(found)
+                    break
+            if rest is None:
+                break
+            times = fits((n, *rest))
+            for p in (n, *rest):
+                left[p] -= times
+            exact.append((times, (n, *rest)))
+    room = []
+    for n in sorted(left, reverse=True):
+        for _ in range(left[n]):
+            fit = [g for g in room if g >= n]
+            if fit:
+                room.remove(min(fit))
+            room.append((min(fit) if fit else context) - n)
+    return exact, sorted(room)

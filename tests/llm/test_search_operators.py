@@ -35,10 +35,11 @@ def _windows(rows, n):
     return {k: sorted(v) for k, v in at.items() if len(v) > 1}
 
 
-def test_suffix_spans_cover_exactly_the_repeated_windows(spark, odd):
+@pytest.mark.parametrize("hot", [2, 4, 10_000])
+def test_suffix_spans_cover_exactly_the_repeated_windows(spark, odd, hot):
     text = [(i, " ".join("ab"[(i * j) % 2] + str(j % (7 + i)) for j in range(120))) for i in range(9)] + ODD[:4] + [(30, "q r s t u v w"), (31, "zz q r s t u v w yy")]
     df = spark.createDataFrame([(i, t, 0) for i, t in text], "doc_id long, text string, first int")
-    got = suffix_dedup.repeated_passages(df, threshold=6, digit=3).collect()
+    got = suffix_dedup.repeated_passages(df, threshold=6, digit=3, hot=hot).collect()
     places = {(r.doc_id, p) for r in got for p in range(r.start_token, r.end_token - 6 + 1)}
     windows = _windows(text, 6)
     assert places == {x for v in windows.values() for x in v}
@@ -47,11 +48,61 @@ def test_suffix_spans_cover_exactly_the_repeated_windows(spark, odd):
     assert {r.doc_id for r in suffix_dedup.repeated_passages(odd).collect()} == {4, 5}
 
 
+_PASSAGE = " ".join(f"Passage {i} says, in so many words, number {i}." for i in range(12))
+_STOCK = "All rights reserved. Click here to read more."
+
+
+def _removed(spark, rows):
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, unit int")
+    text = {i: t for i, t in rows}
+    found = line_dedup.repeated_units(df).collect()
+    return found, {d: line_dedup.remove(text[d], [(r.start, r.end) for r in found if r.doc_id == d]) for d in {r.doc_id for r in found}}
+
+
+def test_line_dedup_finds_passages_within_lines_and_over_line_ends(spark):
+    rows = [
+        (1, f"First comes this, then that\n{_STOCK}\n{_PASSAGE} Behind it goes on."),
+        (2, f"In the middle of a long line it stands, and {_PASSAGE} with more behind. {_STOCK}"),
+        (3, "Other lines.\n" + _PASSAGE.replace(". ", ".\n").replace(" in ", "  in\t").upper() + f"\nEnd.\n{_STOCK}"),
+        (4, f"Only stock sentences are here.\n{_STOCK}\nThey stay where they are, however often they come."),
+        (5, _STOCK + " " + " ".join(f"own{i}" for i in range(60))),
+        (6, "ÉTÉ İx " + _PASSAGE),
+    ]
+    found, left = _removed(spark, rows)
+    assert {r.doc_id for r in found} == {2, 3, 6} and {r.kept_doc_id for r in found} == {1}
+    assert all("number 5" not in t.lower() for t in left.values())
+    assert left[2].startswith("In the middle of a long line it stands, and") and left[2].endswith(f"with more behind. {_STOCK}")
+    assert left[3].startswith("Other lines.") and left[3].endswith(f"End.\n{_STOCK}") and left[6].startswith("ÉTÉ İx") and max(len(left[3]), len(left[6])) < 110
+
+
+def test_line_dedup_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    said = [" ".join(rng.choice(["ab", "cd,", "ef.", "Gh", "é!", 'i."', "j"]) for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    rows = [(i, rng.choice(" \n").join(rng.choice(said) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    at = defaultdict(set)
+    for doc, text in rows:
+        ends, start, bounds = [], 0, []
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x20]+", text)]
+        for k, (a, b) in enumerate(words):
+            if k + 1 == len(words) or "\n" in text[b : words[k + 1][0]] or re.search(r"[.!?,;:|][\"')\]]?$", text[a:b]):
+                bounds.append((start, k + 1))
+                start = k + 1
+        for u, (a, _) in enumerate(bounds):
+            z = next((z for _, z in bounds if z >= a + 10), None)
+            if z:
+                at[" ".join(text[x:y] for x, y in words[a:z]).lower()].add((doc, u, words[a][0], words[z - 1][1]))
+    want = {(*p, *min(v)[:2]) for v in at.values() for p in v if p != min(v)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in line_dedup.repeated_units(df, run_words=10).collect()} == want and len(want) > 50
+
+
 def test_line_dedup_cases(spark, odd):
-    got = {(r.doc_id, r.unit, r.kept_doc_id, r.kept_unit) for r in line_dedup.repeated_units(odd).collect()}
-    assert got == {(5, 0, 4, 0), (8, 1, 8, 0)}
+    assert {(r.doc_id, r.kept_doc_id) for r in line_dedup.repeated_units(odd).collect()} == {(5, 4)}
+    assert line_dedup.repeated_units(odd.limit(0)).count() == 0
     assert line_dedup.remove("a\nb\nc", [(2, 3)]) == "a\nc"
-    assert line_dedup.remove("a\nb", [(2, 3)]) == "a"
+    assert line_dedup.remove("one two three four", [(4, 7), (8, 13)]) == "one four"
     assert line_dedup.remove("a", [(0, 1)]) == ""
 
 
@@ -183,10 +234,13 @@ def test_plan_fills_exactly_where_it_can():
     assert packing.plan({9: 1, 8: 1, 5: 2}, 16) == [(1, (9, 5)), (1, (8, 5))]
 
 
-def test_packing_round_trip(spark, odd):
+@pytest.mark.parametrize("tokenizer", [packing.VOCABULARY, None])
+def test_packing_round_trip(spark, odd, tokenizer):
     docs = spark.read.parquet(f"{oracle.SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    got = packing.pack(docs.withColumn("piece", docs.doc_id)).toPandas()
-    want = sorted(((-1 if r.doc_id is None else r.doc_id), sum(-(-len(w.encode()) // 4) for w in re.findall(r"[^\x00-\x20]+", r.text or ""))) for r in docs.collect())
+    got = packing.pack(docs.withColumn("piece", docs.doc_id), tokenizer=tokenizer).toPandas()
+    ranks = packing.vocabulary(tokenizer)
+    size = (lambda t: len(packing._encoder(ranks).encode_ordinary(t))) if ranks else lambda t: sum(-(-len(w.encode()) // 4) for w in re.findall(r"[^\x00-\x20]+", t))
+    want = sorted(((-1 if r.doc_id is None else r.doc_id), size(r.text or "")) for r in docs.collect())
     got["doc_id"] = got.doc_id.fillna(-1)
     # pieces of each document are its tokens, no more and no less
     have = defaultdict(list)
@@ -204,12 +258,33 @@ def test_packing_round_trip(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
-def test_real_tokens():
+_SIGNS = ["a", "bc", "X", "1", "23", ".", ",", "'s", "'ll", "!", "é", "日本", " ", "  ", "\n", "\n\n", "\t", " \n", "\r\n", "\u00a0", "\u3000", "\x01", "\x1f", "\x85"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(_SIGNS), max_size=14).map("".join)), max_size=6))
+def test_word_by_word_counts_are_those_of_whole_texts(texts):
     import pyarrow as pa
 
-    public_tokenizers = pytest.importorskip("public_tokenizers")
-    n = packing.count_tokens(pa.array(["the cat sat", None, "", "x" * 5000]), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    assert n[0] == 3 and n[1] == n[2] == 0 and n[3] > 100
+    ranks = packing.vocabulary()
+    if ranks is None:
+        pytest.skip("no vocabulary here")
+    encode = packing._encoder(ranks).encode_ordinary
+    assert packing.Counter(ranks).count(pa.array(texts, pa.string())).tolist() == [len(encode(t)) if t else 0 for t in texts]
+
+
+def test_a_missing_vocabulary_means_estimates(spark):
+    df = spark.createDataFrame([(1, "abcdefghi jk")], "doc_id long, text string")
+    assert packing.lengths(df, "/nowhere/at/all").first().n == 4 and packing.lengths(df, None).first().n == 4
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 6), max_size=9))
+def test_plan_equals_brute_force(counts):
+    made = packing.plan(counts, 20)
+    exact, gaps = brute.plan(counts, 20)
+    assert made[: len(exact)] == exact
+    assert sorted(20 - sum(parts) for times, parts in made[len(exact) :] for _ in range(times)) == gaps
 
 
 def test_brute_helpers():
