@@ -42,7 +42,8 @@ DRIVER_EDGES = 2_000_000
 #: A sketch value in more than this share of the documents has its frequency handed out by broadcast (at most K / share values).
 HOT_SHARE = 1e-4
 
-_VALUE = np.dtype([("v", "u8"), ("doc", "u4"), ("part", "u4")])
+#: Bytes of shingle sets that one portion of an owner's comparisons holds.
+PORTION = 8 << 20
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
@@ -182,10 +183,10 @@ def lists(reps: DataFrame, threshold: float, slack: float) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame, meetings: int = 1) -> DataFrame:
-    """Each list's most central member (then the lowest id) with each other member, if they meet so in enough lists."""
+    """(a, b, owner): each list's most central member (then the lowest id) with each other member, if they meet so in enough lists."""
     hub = members.groupBy("v").agg(F.max(F.struct("central", (-F.col("doc")).alias("id"))).alias("hub"))
     both = members.join(hub, "v").select((-F.col("hub.id")).alias("h"), "doc").filter("h <> doc")
-    return both.groupBy(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b")).count().filter(F.col("count") >= meetings).select("a", "b")
+    return both.groupBy(F.least("h", "doc").alias("a"), F.greatest("h", "doc").alias("b")).agg(F.count("*").alias("met"), F.min("h").alias("owner")).filter(F.col("met") >= meetings).select("a", "b", "owner")
 
 
 def counted_pairs(members: DataFrame, labels: DataFrame, threshold: float, slack: float) -> DataFrame:
@@ -208,7 +209,7 @@ def counted_pairs(members: DataFrame, labels: DataFrame, threshold: float, slack
     early = (F.col("place_a") <= F.col("s_a") - o + need) & (F.col("place_b") <= F.col("s_b") - o + need)
     both = a.join(b, "v").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("label_a") != F.col("label_b")) & (low >= high * threshold - 1e-9) & early)
     met = both.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("met"), F.min(need).alias("need"))
-    return met.filter("met >= need").select("a", "b")
+    return met.filter("met >= need").select("a", "b", F.col("a").alias("owner"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,54 +223,81 @@ def cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of one list in different groups."""
     m = _mixed(members, labels).select("v", "doc", "label")
     n = m.select("v", F.col("doc").alias("b"), F.col("label").alias("lb"))
-    return m.select("v", F.col("doc").alias("a"), F.col("label").alias("la")).join(n, "v").filter("a < b and la <> lb").select("a", "b").distinct()
+    return m.select("v", F.col("doc").alias("a"), F.col("label").alias("la")).join(n, "v").filter("a < b and la <> lb").select("a", "b", F.col("a").alias("owner")).distinct()
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, k: int, threshold: float, slack: float, repeated: bool) -> DataFrame:
-    """(a, b, similarity) of the pairs whose union sketch admits them and whose exact similarity reaches the threshold."""
+    """(a, b, similarity) of the pairs (a, b, owner) whose union sketch admits them and whose exact similarity reaches the threshold.
+
+    Each text is read once. Its shingle set goes to the owners that it is compared with, and an owner's own set to each
+    portion (of about PORTION bytes) of what is compared with it, so an owner of very many pairs is no single task's work.
+    """
+    spark = docs.sparkSession
     for x in "ab":
-        pairs = pairs.join(reps.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}")), x)
+        pairs = pairs.join(reps.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}")), x)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    admit = S.cut(pairs.filter(common >= (threshold - slack) * F.size(union) - 1e-9).select("a", "b"))
-    ids = S.cut(admit.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(S.small(ids), "doc_id", "left_semi")
-    if repeated:
-        texts = _speaking(texts, reps, shingle)
-    texts = S.cut(texts)
-    full = admit.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    near = (common >= (threshold - slack) * F.size(union) - 1e-9) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    other = F.when(F.col("owner") == F.col("a"), F.struct(F.col("b").alias("doc"), F.col("nb").alias("n"))).otherwise(F.struct(F.col("a").alias("doc"), F.col("na").alias("n")))
+    admit = S.cut(pairs.filter(near).select("owner", other.alias("o")).select("owner", "o.doc", "o.n"))
+    owners = S.cut(admit.groupBy("owner").agg(F.ceil(F.sum("n") * 8 / PORTION).cast("int").alias("portions"), F.sum("n").alias("size")))
+    total = owners.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] * 8
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PORTION))
+    bucket = F.pmod(F.xxhash64("owner", "portion"), F.lit(buckets)).cast("int").alias("bucket")
+    member = admit.join(S.small(owners), "owner").select("doc", "owner", F.pmod(F.xxhash64("doc"), F.col("portions")).cast("int").alias("portion"))
+    own = owners.select(F.col("owner").alias("doc"), "owner", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
+    goals = member.unionByName(own).select("doc", F.struct("owner", bucket).alias("goal")).groupBy("doc").agg(F.collect_set("goal").alias("goals"))
+    if repeated:  # of the rows that repeat a doc_id, the one whose digest speaks for it
+        goals = goals.join(reps.select(F.col("doc_id").alias("doc"), "sig"), "doc")
+    goals = S.cut(goals)
+    kept = ["doc", "text", "goals", *(["sig"] if repeated else [])]
+    read = S.texts(docs).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+
+    def spread(batches):
+        import hashlib
 
-    def run(batches):
         for batch in batches:
-            j = np.empty(len(batch))
-            for i, (x, y) in enumerate(zip(_sets(batch, "ta", shingle), _sets(batch, "tb", shingle))):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                j[i] = both / max(1, len(x) + len(y) - both)
-            t = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j)], ["a", "b", "similarity"])
-            yield t.filter(pa.array(j >= threshold - 1e-12))
-
-    out = S.cut(full.mapInArrow(run, "a long, b long, similarity double"))
-    S.drop(admit, ids, texts)
+            for b in blocks(batch, "text"):
+                docs_of, sets = b.column("doc").to_pylist(), list(shingle_sets(Grid(b.column("text")), shingle))
+                keep = np.array([not repeated or hashlib.blake2b(s.tobytes(), digest_size=16).digest() == b.column("sig")[i].as_py() for i, s in enumerate(sets)], bool)
+                goals = b.column("goals")
+                row = np.repeat(np.arange(len(b)), np.asarray(goals.value_lengths()))
+                flat = goals.flatten()
+                use = keep[row]
+                row, to = row[use], flat.filter(pa.array(use))
+                blobs = [s.tobytes() for s in sets]
+                for a in range(0, len(row), 256):  # few at a time: one text may go to many owners
+                    r = row[a : a + 256]
+                    yield pa.RecordBatch.from_arrays([to.field("bucket")[a : a + 256], to.field("owner")[a : a + 256], pa.array([docs_of[i] for i in r], pa.int64()), pa.array([blobs[i] for i in r], pa.binary())], ["bucket", "owner", "doc", "set"])
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        owner, doc, sets = t.column("owner").to_numpy(), t.column("doc").to_numpy(), t.column("set").chunks[0] if len(t) else []
+        order = np.lexsort((doc, owner))
+        at, size = S.groups(owner[order])
+        of = lambda i: np.frombuffer(sets[i].as_buffer(), U64)
+        out = []
+        for a, n in zip(at, size):
+            mine = order[a : a + n]
+            whole = of(next(i for i in mine if doc[i] == owner[i]))
+            before = None
+            for i in mine:
+                if doc[i] == owner[i] or doc[i] == before:  # equal rows may come twice
+                    continue
+                before, x = doc[i], of(i)
+                both = int((whole[np.minimum(np.searchsorted(whole, x), len(whole) - 1)] == x).sum())
+                j = both / (len(x) + len(whole) - both)
+                if j >= threshold - 1e-12:
+                    out.append((min(doc[i], owner[i]), max(doc[i], owner[i]), j))
+        a, b, j = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(j, pa.float64())})
+
+    sent = read.join(S.small(goals), "doc").select(*kept).mapInArrow(spread, "bucket int, owner long, doc long, set binary")
+    out = S.cut(sent.groupBy("bucket").applyInArrow(compare, "a long, b long, similarity double"))
+    S.drop(admit, owners, goals)
     return out
 
 
-def _sets(batch: pa.RecordBatch, column: str, shingle: int):
-    for b in blocks(batch, column):
-        yield from shingle_sets(Grid(b.column(column)), shingle)
-
-
-def _speaking(texts: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """Of the rows that repeat a doc_id, one with the digest that speaks for it."""
-    import hashlib
-
-    def run(batches):
-        for batch in batches:
-            sigs = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in _sets(batch, "text", shingle)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.binary())], ["doc_id", "text", "sig"])
-
-    return texts.mapInArrow(run, "doc_id long, text string, sig binary").join(reps.select("doc_id", "sig"), ["doc_id", "sig"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-
-
 def components(edges: DataFrame, most: int = DRIVER_EDGES) -> DataFrame:
     """(id, label): the lowest id of the connected component of each end of the edges (a, b)."""
     spark = edges.sparkSession
@@ -314,28 +342,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, k: int = K, thresho
     # Copies: one representative for each digest.
     rep = S.cut(one.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = S.cut(one.join(rep.select("sig", F.col("rep").alias("doc_id")), ["doc_id", "sig"], "left_semi"))
+    digests = S.cut(one.select("doc_id", "sig"))
+    S.drop(sk)
     members = S.cut(lists(reps, threshold, slack))
-    edges = verified(hub_pairs(members, 2), reps, docs, shingle, k, threshold, slack, repeated)
+    pairs = S.cut(hub_pairs(members, 2))
+    edges = verified(pairs, reps, docs, shingle, k, threshold, slack, repeated)
     labels = S.cut(components(edges, driver_edges))
     rest = S.cut(counted_pairs(members, labels, threshold, slack))
-    S.drop(members)
+    S.drop(members, pairs)
     if not rest.isEmpty():
         more = verified(rest, reps, docs, shingle, k, threshold, slack, repeated)
+        S.drop(labels)
         labels = S.cut(components(edges.unionByName(more), driver_edges))
         S.drop(more)
     S.drop(reps, rest, edges)
     of_rep = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", "copies", F.col("label").isNotNull().alias("near"), F.coalesce("label", "rep").alias("group_id"))
     of_rep = of_rep.filter("copies > 1 or near").drop("copies", "near")
-    return one.select("doc_id", "sig").join(of_rep, "sig").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    out = S.cut(digests.join(of_rep, "sig").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept")))
+    S.drop(digests, rep, labels)
+    return out
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """docs without all but one document of each group; rows that repeat a doc_id of a group stay once."""
-    found = S.cut(near_duplicates(docs, **params))
-    gone = S.cut(found.filter("not kept").select(F.col("doc_id").alias("__gone")))
-    left = docs.join(S.small(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    """docs without all but one document of each group; rows that repeat a doc_id of a group stay once, as the row whose values come first."""
+    found = near_duplicates(docs, **params)
+    key = S.fresh(docs, "id")
+    gone = S.cut(found.filter("not kept").select(F.col("doc_id").alias(key)))
+    S.drop(found)
+    left = docs.join(S.small(gone), F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    ids = S.cut(docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(key)).count().filter("count > 1").select(key))
     if ids.isEmpty():
+        S.drop(ids)
         return left
-    single = left.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
-    return single.unionByName(left.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))
+    again = F.col("doc_id").cast("long") == F.col(key)
+    single = left.join(ids, again, "left_anti")
+    return single.unionByName(left.join(ids, again, "left_semi").dropDuplicates(["doc_id"]))
