@@ -69,6 +69,13 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), _MARKED, _PLAIN)
 
 
+_FOLDED = str.maketrans(_MARKED, _PLAIN)
+
+
+def fold_py(text: str) -> str:
+    return text.lower().translate(_FOLDED)
+
+
 def normalize_name(name: Column) -> Column:
     """The key that ids are made of: folded; hyphens, slashes and underscores are spaces; no other signs; single spaces."""
     x = F.regexp_replace(fold(name), r"[-/_]", " ")
@@ -76,7 +83,7 @@ def normalize_name(name: Column) -> Column:
 
 
 def normalize_py(name: str) -> str:
-    x = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
+    x = fold_py(name)
     x = re.sub(r"[-/_]", " ", x)
     x = "".join(c for c in x if unicodedata.category(c)[0] not in "PS")
     return " ".join(x.split())

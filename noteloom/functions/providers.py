@@ -1,6 +1,6 @@
 """Model providers and their deterministic doubles.
 
-A provider is an object with some of: embed(texts), extract(text), adjudicate(name, candidates), generate(prompt).
+A provider is an object with some of: embed(texts), extract(text), adjudicate(name, kind, candidates), generate(prompt).
 Errors are Transient (try again later) or Permanent.
 """
 
@@ -15,6 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 
 
+#: The kinds that an extraction may name, which are also those of the graph.
+ENTITY_TYPES = ("Person", "Project", "Technology", "Concept", "Document", "Component")
+RELATION_TYPES = ("uses", "part-of", "depends-on", "related-to", "authored-by", "contradicts")
+
+
 class Transient(Exception):
     pass
 
@@ -64,6 +69,19 @@ class FixtureExtractor:
         return next((found for key, found in self.fixtures.items() if key in text), {"entities": [], "relations": []})
 
 
+class FixtureAdjudicator:
+    """Says for given names which candidate is meant; no other name is one of its candidates."""
+
+    name = "fixture"
+
+    def __init__(self, same: dict[str, str] | None = None):
+        self.same = same or {}
+
+    def adjudicate(self, name: str, kind: str, candidates: list[str]) -> str | None:
+        meant = self.same.get(name)
+        return meant if meant in candidates else None
+
+
 class FixedGenerator:
     name = "fixed"
 
@@ -92,16 +110,16 @@ def string_schema(options: list[str] | None = None) -> dict:
 
 
 def extraction_schema(entity_types: list[str], relation_types: list[str]) -> dict:
-    entity = object_schema({"name": string_schema(), "type": string_schema(entity_types)})
-    relation = object_schema({"source": string_schema(), "type": string_schema(relation_types), "target": string_schema(), "confidence": {"type": "number"}})
+    entity = object_schema({"name": string_schema(), "type": string_schema([*entity_types])})
+    relation = object_schema({"source": string_schema(), "type": string_schema([*relation_types]), "target": string_schema(), "confidence": {"type": "number"}})
     return object_schema({"entities": array_schema(entity), "relations": array_schema(relation)})
 
 
 class HttpModel:
     """A model server with /api/embed, /api/generate and /api/tags. Off unless it is given."""
 
-    def __init__(self, base: str, model: str, timeout: float = 120.0):
-        self.base, self.name, self.timeout = base.rstrip("/"), model, timeout
+    def __init__(self, base: str, model: str, timeout: float = 120.0, schema: dict | None = None):
+        self.base, self.name, self.timeout, self.schema = base.rstrip("/"), model, timeout, schema
 
     def _open(self, path: str, body: dict | None = None):
         data = None if body is None else json.dumps(body).encode()
@@ -120,12 +138,24 @@ class HttpModel:
             raise Permanent("the number of embeddings is not that of the texts")
         return found
 
-    def extract(self, text: str, schema: dict) -> dict:
-        with self._open("/api/generate", {"model": self.name, "prompt": text, "format": schema, "stream": False}) as r:
+    def _asked(self, prompt: str, schema: dict) -> dict:
+        with self._open("/api/generate", {"model": self.name, "prompt": prompt, "format": schema, "stream": False}) as r:
             try:
-                return json.loads(json.load(r)["response"])
-            except (KeyError, ValueError) as e:
-                raise Permanent("malformed extraction") from e
+                found = json.loads(json.load(r)["response"])
+            except (KeyError, TypeError, ValueError) as e:
+                raise Permanent("malformed response") from e
+        if not isinstance(found, dict):
+            raise Permanent("malformed response")
+        return found
+
+    def extract(self, text: str) -> dict:
+        return self._asked(text, self.schema or extraction_schema(ENTITY_TYPES, RELATION_TYPES))
+
+    def adjudicate(self, name: str, kind: str, candidates: list[str]) -> str | None:
+        """Which of the candidates the name means, if any."""
+        listed = "\n".join(f"- {c}" for c in candidates)
+        found = self._asked(f"Is the {kind} {name!r} one of these?\n{listed}\nAnswer with the one that it is, or with none.", object_schema({"same": string_schema([*candidates, "none"])}))
+        return found.get("same") if found.get("same") in candidates else None
 
     def generate(self, prompt: str, temperature: float = 0.2) -> Iterator[str]:
         with self._open("/api/generate", {"model": self.name, "prompt": prompt, "stream": True, "options": {"temperature": temperature}}) as r:
@@ -144,7 +174,7 @@ class HttpModel:
         return {"reachable": True, "missing": [] if full in names or self.name in names else [self.name], "reason": None}
 
 
-def embedded(texts, embedder, column: str = "text", batch: int = 16):
+def embedded(texts, embedder, column: str = "text", batch: int = 16, dimensions: int | None = None):
     """texts with ``embedding`` and ``error``: one call for each batch of rows; a batch that fails is asked row by row, so that one bad text fails alone."""
     from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
@@ -152,7 +182,10 @@ def embedded(texts, embedder, column: str = "text", batch: int = 16):
 
     def ask(part):
         try:
-            return [(v, None) for v in embedder.embed(part)]
+            found = embedder.embed(part)
+            if len(found) != len(part) or dimensions and any(len(v) != dimensions for v in found):
+                raise Permanent("the embeddings are not of the number or dimension that was asked for")
+            return [(v, None) for v in found]
         except (Transient, Permanent) as e:
             if len(part) == 1:
                 return [(None, f"{'transient' if isinstance(e, Transient) else 'permanent'}: {e}")]

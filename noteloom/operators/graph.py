@@ -9,10 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noteloom.functions.ids import match_key_py
+from noteloom.functions.providers import ENTITY_TYPES, RELATION_TYPES
 from noteloom.operators.knn import similarity
 
-ENTITY_TYPES = ("Person", "Project", "Technology", "Concept", "Document", "Component")
-RELATION_TYPES = ("uses", "part-of", "depends-on", "related-to", "authored-by", "contradicts")
 RESOLVE, ADJUDICATE, NEAREST = 0.92, 0.75, 10
 FROM_EXTRACTION, FROM_FRONT_MATTER = "extraction", "front_matter"
 
@@ -70,14 +69,18 @@ def chunk_rank(expanded: DataFrame, limit: int = 50) -> DataFrame:
 
 def orphans(entities: DataFrame, mentions: DataFrame, relations: DataFrame) -> DataFrame:
     """Entities that no mention and no relation holds."""
-    used = mentions.select("entity_id").unionByName(relations.select(F.col("source_id").alias("entity_id"))).unionByName(relations.select(F.col("target_id").alias("entity_id")))
-    return entities.join(used.distinct(), "entity_id", "left_anti")
+    own = F.struct(*entities.columns)
+    used = mentions.select("entity_id").unionByName(relations.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")))
+    rows = entities.select("entity_id", own.alias("own"), F.lit(False).alias("used")).unionByName(used.select("entity_id", F.lit(True).alias("used")), allowMissingColumns=True)
+    found = rows.groupBy("entity_id").agg(F.max("own").alias("own"), F.max("used").alias("used"))
+    return found.filter("own is not null and not used").select("own.*")
 
 
 def clear_extraction(mentions: DataFrame, relations: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the extracted mentions and the relations of the given chunks (chunk_id)."""
     gone = chunks.select("chunk_id").distinct()
-    kept = mentions.filter(F.col("source") != FROM_EXTRACTION).unionByName(mentions.filter(F.col("source") == FROM_EXTRACTION).join(gone, "chunk_id", "left_anti"))
+    hit = mentions.join(gone.withColumn("__gone", F.lit(True)), "chunk_id", "left")
+    kept = hit.filter(F.col("__gone").isNull() | (F.col("source") != FROM_EXTRACTION)).select(*mentions.columns)
     return kept, relations.join(gone.withColumnRenamed("chunk_id", "supporting_chunk_id"), "supporting_chunk_id", "left_anti").select(*relations.columns)
 
 
@@ -87,11 +90,6 @@ def canonical(kind: Column, vocabulary: tuple[str, ...]) -> Column:
     return F.try_element_at(spelled, F.lower(F.trim(kind)))
 
 
-def fingerprint(types: Column) -> Column:
-    """16 hex digits for a set of types, whatever its order and case."""
-    return F.substring(F.sha2(F.array_join(F.array_sort(F.transform(types, F.lower)), ","), 256), 1, 16)
-
-
 def sanitized_entities(extracted: DataFrame, key: Column, vocabulary: tuple[str, ...] = ENTITY_TYPES) -> DataFrame:
     """extracted (chunk_id, position, name, type): known types, trimmed names, the first of each (type, key) in a chunk."""
     clean = extracted.withColumn("name", F.trim("name")).withColumn("type", canonical(F.col("type"), vocabulary)).filter("name <> '' and type is not null").withColumn("key", key)
@@ -109,9 +107,10 @@ def sanitized_relations(extracted: DataFrame, entities: DataFrame, source: Colum
     return clean.select("chunk_id", "source", "type", "target", "confidence", "source_key", "target_key")
 
 
-def resolve(extracted: DataFrame, entities: DataFrame, aliases: DataFrame, candidates: DataFrame | None = None, threshold: float = RESOLVE) -> DataFrame:
+def resolve(extracted: DataFrame, entities: DataFrame, aliases: DataFrame, candidates: DataFrame | None = None, threshold: float = RESOLVE, ask: float = ADJUDICATE) -> DataFrame:
     """(name_id, entity_id, how): exact by key and type; else the nearest of the first candidates of the type, if similar enough; else new.
 
+    With candidates, a new name has ``asked``: those of its type that are between ask and threshold, nearest first, for a judge.
     extracted (name_id, key, type, new_id); candidates (name_id, entity_id, distance, rank), nearest first. A name whose key is known under
     another type only is new: no similarity is asked for it.
     """
@@ -119,14 +118,19 @@ def resolve(extracted: DataFrame, entities: DataFrame, aliases: DataFrame, candi
     exact = extracted.join(known, ["key", "type"]).groupBy("name_id").agg(F.min("entity_id").alias("entity_id")).withColumn("how", F.lit("exact"))
     rest = extracted.join(exact.select("name_id"), "name_id", "left_anti")
     open_ = rest.join(known.select("key").distinct(), "key", "left_anti")
-    similar = None
-    if candidates is not None:
-        near = candidates.filter(F.col("rank") <= NEAREST).join(entities.select("entity_id", "type"), "entity_id").join(open_.select("name_id", "type"), ["name_id", "type"])
-        near = near.filter(similarity(F.col("distance")) >= threshold)
-        similar = near.groupBy("name_id").agg(F.min_by("entity_id", F.struct("rank", "entity_id")).alias("entity_id")).withColumn("how", F.lit("similar"))
-        rest = rest.join(similar.select("name_id"), "name_id", "left_anti")
-    new = rest.select("name_id", F.col("new_id").alias("entity_id"), F.lit("new").alias("how"))
-    return exact.unionByName(new) if similar is None else exact.unionByName(similar).unionByName(new)
+    if candidates is None:
+        return exact.unionByName(rest.select("name_id", F.col("new_id").alias("entity_id"), F.lit("new").alias("how")))
+    near = candidates.filter(F.col("rank") <= NEAREST).join(entities.select("entity_id", "type"), "entity_id").join(open_.select("name_id", "type"), ["name_id", "type"])
+    near = near.withColumn("s", similarity(F.col("distance")))
+    best = near.groupBy("name_id").agg(  # at most NEAREST rows for each name
+        F.min_by(F.when(F.col("s") >= threshold, F.col("entity_id")), F.when(F.col("s") >= threshold, F.struct("rank", "entity_id"))).alias("found"),
+        F.array_sort(F.collect_list(F.when((F.col("s") >= ask) & (F.col("s") < threshold), F.struct("rank", "entity_id")))).alias("asked"),
+    )
+    rest = rest.join(best, "name_id", "left")
+    none = F.array().cast("array<string>")
+    return exact.withColumn("asked", none).unionByName(
+        rest.select("name_id", F.coalesce("found", "new_id").alias("entity_id"), F.when(F.col("found").isNull(), "new").otherwise("similar").alias("how"), F.when(F.col("found").isNull(), F.coalesce(F.col("asked.entity_id"), none)).otherwise(none).alias("asked"))
+    )
 
 
 def title_mentions(documents: DataFrame, chunks: DataFrame) -> DataFrame:

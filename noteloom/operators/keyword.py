@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.functions.ids import fold
+from noteloom.functions.ids import fold, fold_py
 
 TERM = r"[\p{L}\p{N}]+"
 STOP = frozenset(
@@ -55,6 +56,15 @@ def doc_freq(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def length(heading: Column, content: Column) -> Column:
+    return F.size(tokens(heading)) + F.size(tokens(content))
+
+
+def folded_terms(query: str) -> list[str]:
+    """A query's terms as an index has them, before stems."""
+    return [fold_py(t) for t in query_terms(query)]
+
+
 def lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", (F.size(tokens(F.col("heading"))) + F.size(tokens(F.col("content")))).alias("dl"))
 
@@ -78,6 +88,63 @@ def bm25(chunks: DataFrame, terms: list[str], k1: float = K1, b: float = B, head
     return found.select("chunk_id", F.round(score, DECIMALS).alias("score"))
 
 
+# The stored index
+
+#: Directories that the terms of an index are spread over.
+BUCKETS = 32
+POSTED = "term string, chunk_id {}, tf_heading int, tf_content int, dl int, version string, bucket int"
+
+
+def bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def posted(chunks: DataFrame, stem: bool = False, version: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(term, chunk_id, tf_heading, tf_content, dl, version, bucket) of chunks (chunk_id, heading, content): what an index holds.
+
+    dl is the chunk's length, so that a query needs no other table of chunks; version tells which state of the chunk this is.
+    """
+    head, body = tokens(F.col("heading")), tokens(F.col("content"))
+    read = chunks.select("chunk_id", head.alias("h"), body.alias("c"), (version if version is not None else F.lit(None)).cast("string").alias("version"))
+    part = lambda column, heading: F.transform(F.col(column), lambda t: F.struct(t.alias("term"), F.lit(heading).alias("heading")))
+    each = read.select("chunk_id", "version", (F.size("h") + F.size("c")).alias("dl"), F.explode(F.concat(part("h", 1), part("c", 0))).alias("p"))
+    each = each.select("chunk_id", "version", "dl", "p.term", "p.heading")
+    counts = lambda df: df.groupBy("term", "chunk_id", "dl", "version").agg(F.sum("tf_heading").cast("int").alias("tf_heading"), F.sum("tf_content").cast("int").alias("tf_content"))
+    out = counts(each.select("*", F.col("heading").alias("tf_heading"), (1 - F.col("heading")).alias("tf_content")))
+    if stem:
+        out = counts(stemmed(out).drop("term").withColumnRenamed("stem", "term"))
+    return out.select("term", "chunk_id", "tf_heading", "tf_content", "dl", "version", bucket(F.col("term"), buckets).alias("bucket"))
+
+
+def write_index(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Postings by bucket, in each file by term, so that a query reads its terms' buckets and in them its terms' row groups.
+
+    Ranges end within a term where it has very many chunks, so no term is one task's work.
+    """
+    rows.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(mode).parquet(path)
+
+
+def bm25_index(index: DataFrame, n: int, average: float | None, terms: list[str], k1: float = K1, b: float = B, heading_weight: int = HEADING_WEIGHT, buckets: int = BUCKETS, alive: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, score) as bm25() gives it, from an index of n chunks of so many terms on average.
+
+    alive (chunk_id, version): the chunks that there are now, if the index may hold others.
+    """
+    terms = [*dict.fromkeys(terms)]
+    if not terms or not n:
+        return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    asked = index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(bucket(F.col("term"), buckets)).distinct().collect()  # as many rows as terms at most
+    hit = index.filter(F.col("bucket").isin(*(r[0] for r in asked)) & F.col("term").isin(*terms))
+    if alive is not None:
+        hit = hit.join(alive, ["chunk_id", "version"], "left_semi")
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))  # one row for each term
+    ratio = (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    idf = F.when(ratio <= 1, F.lit(FLOOR)).otherwise(F.greatest(F.lit(FLOOR), F.ln(ratio)))
+    tf = (F.col("tf_heading") * heading_weight + F.col("tf_content")).cast("double")
+    norm = k1 * (1 - b + b * F.col("dl") / F.lit(average or None).cast("double"))
+    scored = hit.join(F.broadcast(df.select("term", idf.alias("idf"))), "term")
+    return scored.groupBy("chunk_id").agg(F.round(F.sum(F.col("idf") * tf * (k1 + 1) / (tf + norm)), DECIMALS).alias("score"))
+
+
 def top(scored: DataFrame, limit: int, key: str = "chunk_id", by: str = "score", largest: bool = True) -> DataFrame:
     order = F.desc(by) if largest else F.asc(by)
     return scored.orderBy(order, key).limit(limit)
@@ -88,6 +155,11 @@ _STEPS3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("i
 _STEPS4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+def stem(w: str) -> str:
+    """The stem of a term of Latin letters; other terms stay."""
+    return porter(w) if w.isascii() and w.isalpha() else w
+
+
 def porter(w: str) -> str:
     """The stem of a lower-case word by Porter's rules (1980)."""
     if len(w) < 3:
@@ -150,11 +222,8 @@ def porter(w: str) -> str:
 
 def stemmed(terms: DataFrame, column: str = "term") -> DataFrame:
     """terms with ``stem``, by an Arrow function."""
-    import pandas as pd
-
     @F.pandas_udf("string")
-    def stem(s: pd.Series) -> pd.Series:
-        memo = {w: porter(w) for w in s.dropna().unique()}
-        return s.map(memo)
+    def stems(s: pd.Series) -> pd.Series:
+        return s.map({w: stem(w) for w in s.dropna().unique()})
 
-    return terms.withColumn("stem", stem(F.col(column)))
+    return terms.withColumn("stem", stems(F.col(column)))

@@ -65,36 +65,63 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", key:
     return found.orderBy("distance", key).limit(k)
 
 
-def knn_per_query(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", query_key: str = "query_id", column: str = "embedding", block: int = 2048) -> DataFrame:
-    """(query_key, key, distance, rank): k nearest for each query.
+#: Bytes of the queries that one scan of the vectors takes with it.
+SHARD_BYTES = 32 << 20
 
-    Queries go round in shards of ``block`` rows: each shard meets every batch of vectors as one matrix product, which
-    keeps the k best of each batch, and a window settles them. Nothing of either table is broadcast.
+
+def knn_per_query(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", query_key: str = "query_id", column: str = "embedding", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(query_id, key, distance, rank): k nearest for each query.
+
+    Queries go round in shards of about shard_bytes, each broadcast to one scan of the vectors. A task meets its
+    vectors batch by batch as matrix products and keeps each query's k best; a window settles what the tasks found. No vector is shuffled.
     """
-    shard = F.pmod(F.xxhash64(query_key), F.lit(max(1, -(-queries.count() // block)))).cast("int")
-    q = queries.filter(F.col(column).isNotNull()).groupBy(shard.alias("shard")).agg(F.collect_list(F.struct(F.col(query_key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))).alias("queries"))
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = vectors.filter(F.col(column).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(4 * parts)).alias("part")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))).alias("vectors"))
-
-    def matrix(items):
-        rows = items.values
-        parts, size = rows.field("v"), len(rows)
-        flat = parts.flatten().to_numpy(zero_copy_only=False)
-        if size and (len(flat) % size or (np.diff(parts.offsets.to_numpy()) != len(flat) // size).any()):
-            raise ValueError("vectors differ in dimension")
-        return rows.field("id").to_numpy(), flat.reshape(size, -1)
+    asked = queries.filter(F.col(column).isNotNull()).select(F.col(query_key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    n, dims = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    shards = max(1, -(-n * dims * 8 // shard_bytes))
+    read = vectors.filter(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(column).cast("array<double>").alias("v"))
+    every = None
+    for shard in range(shards):
+        part = asked if shards == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard)
+        best = _best(read, part, k, metric, key, query_key)
+        every = best if every is None else every.unionByName(best)
+    rank = F.row_number().over(W.partitionBy(query_key).orderBy("distance", key))
+    return every.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _matrix(ids: pa.ChunkedArray | pa.Array, lists: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors, which must be of one dimension."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat, size = lists.flatten().to_numpy(zero_copy_only=False), len(lists)
+    if size and (len(flat) % size or (np.asarray(lists.value_lengths()) != len(flat) // size).any()):
+        raise ValueError("vectors differ in dimension")
+    return ids.to_numpy(), flat.reshape(size, -1)
+
+
+def _best(read: DataFrame, asked: DataFrame, k: int, metric: str, key: str, query_key: str) -> DataFrame:
+    """(query_key, key, distance): the k best for each query in each task."""
+    t = asked.toArrow()  # one shard
+    shared = read.sparkSession.sparkContext.broadcast(_matrix(t.column("id"), t.column("v")))
 
     def run(batches):
+        qi, qm = shared.value
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
-            for qs, vs in zip(batch.column("queries"), batch.column("vectors")):
-                qi, qm = matrix(qs)
-                vi, vm = matrix(vs)
-                row, col, d = nearest(qm, vm, vi, k, metric)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row]), pa.array(vi[col]), pa.array(d)], [query_key, key, "distance"])
-
-    best = q.crossJoin(v).mapInArrow(run, f"{query_key} long, {key} long, distance double")
-    rank = F.row_number().over(W.partitionBy(query_key).orderBy("distance", key))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+            if not len(qi) or not len(batch):
+                continue
+            vi, vm = _matrix(batch.column(key), batch.column("v"))
+            if vm.shape[1] != qm.shape[1]:
+                raise ValueError("vectors differ in dimension")
+            step = max(1, (1 << 22) // len(vi))  # products of a few million numbers at a time
+            for a in range(0, len(qi), step):
+                row, col, d = nearest(qm[a : a + step], vm, vi, k, metric)
+                found = tuple(np.concatenate(x) for x in zip(found, (row + a, vi[col], d)))
+            order = np.lexsort((found[1], found[2], found[0]))
+            row, ids, d = (x[order] for x in found)
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found = row[keep], ids[keep], d[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(qi[found[0]]), pa.array(found[1]), pa.array(found[2])], [query_key, key, "distance"])
+
+    return read.mapInArrow(run, f"{query_key} long, {key} long, distance double")
 
 
 def nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,12 +147,12 @@ def nearest(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str)
 
 def pairwise(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l1":
-        return np.abs(q[:, None] - v[None]).sum(2)
+        return np.stack([np.abs(v - x).sum(1) for x in q]) if len(q) else np.zeros((0, len(v)))
     if metric == "cosine":
         with np.errstate(all="ignore"):
             return 1 - (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None])
     if metric == "l2":
-        return np.sqrt(np.maximum(0, ((q[:, None] - v[None]) ** 2).sum(2))) if q.size * len(v) < 1 << 24 else np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * q @ v.T))
+        return np.sqrt(np.stack([((v - x) ** 2).sum(1) for x in q])) if len(q) else np.zeros((0, len(v)))
     raise ValueError(f"no metric {metric}")
 
 

@@ -213,12 +213,30 @@ def doc_freq(spark, sf):
 
 @query(_BM25 + "SELECT * FROM scored")
 def keyword_bm25_weighted(spark, sf):
+    """Without an index."""
     return keyword.bm25(P.chunks(spark, sf), TERMS)
 
 
 @query(_BM25 + "SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 50")
 def keyword_bm25(spark, sf):
-    return keyword.top(keyword.bm25(P.chunks(spark, sf), TERMS), 50)
+    return keyword.top(keyword.bm25_index(*P.keyword_index(spark, sf), TERMS), 50)
+
+
+@query(_POSTED + "SELECT term, chunk_id, tf_heading, tf_content FROM posted")
+def keyword_index(spark, sf):
+    """The stored postings."""
+    return P.keyword_index(spark, sf)[0].select("term", "chunk_id", "tf_heading", "tf_content")
+
+
+@query(_POSTED + "SELECT term, chunk_id, tf_heading, tf_content FROM posted WHERE chunk_id % 10 <> 2")
+def keyword_index_increment(spark, sf):
+    """An index that a tenth of the chunks was taken from and added to again, without those of another tenth: what is alive of it is what a rebuild holds."""
+    chunks = P.chunks(spark, sf)
+    k = F.col("chunk_id") % 10
+    old = keyword.posted(chunks.withColumn("content", F.when(k == 1, F.concat("content", F.lit(" former"))).otherwise(F.col("content"))), version=F.when(k == 1, F.lit("1")).otherwise(F.lit("2")))
+    new = keyword.posted(chunks.filter(k == 1), version=F.lit("2"))
+    alive = chunks.filter(k != 2).select("chunk_id", F.lit("2").alias("version"))
+    return old.unionByName(new).join(alive, ["chunk_id", "version"], "left_semi").select("term", "chunk_id", "tf_heading", "tf_content")
 
 
 _STOPS = ", ".join(f"'{t}'" for t in sorted(keyword.STOP))
@@ -365,16 +383,11 @@ def knn_hamming(spark, sf):
     return knn.knn(bits, [float(x > 0) for x in _asked(spark, sf)], 10, "hamming").select("vec_id", F.col("distance").cast("int").alias("distance"))
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.e, b.e), 9) AS distance, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 9), b.vec_id) AS INTEGER) AS rank FROM v a, v b WHERE a.label = 0 QUALIFY rank <= 5")
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.e, b.e), 9) AS distance, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 9), b.vec_id) AS INTEGER) AS rank FROM v a, v b WHERE a.vec_id % 100 = 0 QUALIFY rank <= 5")
 def knn_per_query(spark, sf):
+    """Every vector whose id is divisible by 100 asks all vectors."""
     v = _vectors(spark, sf)
-    return knn.knn_per_query(v, v.filter("label = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
-
-
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(list_distance(a.e, b.e), 9) AS distance, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.e, b.e), 9), b.vec_id) AS INTEGER) AS rank FROM v a, v b QUALIFY rank <= 5")
-def knn_per_query_all(spark, sf):
-    v = _vectors(spark, sf)
-    return knn.knn_per_query(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return knn.knn_per_query(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
 
 
 @query(_PAIRS + "SELECT vec_id, distance, round(1 / (1 + distance), 9) AS similarity, CASE WHEN 1 / (1 + distance) >= 0.92 THEN 'same' WHEN 1 / (1 + distance) >= 0.75 THEN 'ask' ELSE 'new' END AS decision FROM (SELECT vec_id, round(list_distance(e, q), 9) AS distance FROM v, q ORDER BY distance, vec_id LIMIT 10)")
@@ -426,11 +439,6 @@ expanded AS (SELECT chunk_id, hop, max(confidence) AS confidence FROM steps GROU
 """
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """The engine keeps mentions and relations as tables; here they are derived once and kept, and made again where an executor is lost."""
-    return df.persist()
-
-
 def _seeds(spark, sf) -> DataFrame:
     return P.aliases(spark, sf).filter(F.col("normalized_name").isin("p1", "s1")).select("entity_id").distinct()
 
@@ -455,20 +463,21 @@ def graph_neighbors(spark, sf):
 
 @query(_EXPAND + "SELECT * FROM expanded")
 def graph_two_hop(spark, sf):
-    return graph.expand(P.mentions(spark, sf), _stored(P.relations(spark, sf)), _seeds(spark, sf), 2)
+    return graph.expand(P.mentions(spark, sf), P.relations(spark, sf), _seeds(spark, sf), 2)
 
 
 @query(_EXPAND + "SELECT * FROM expanded ORDER BY hop, confidence DESC, chunk_id LIMIT 50")
 def graph_chunk_rank(spark, sf):
-    return graph.chunk_rank(graph.expand(P.mentions(spark, sf), _stored(P.relations(spark, sf)), _seeds(spark, sf), 2))
+    return graph.chunk_rank(graph.expand(P.mentions(spark, sf), P.relations(spark, sf), _seeds(spark, sf), 2))
 
 
-_KEPT = f", gone AS (SELECT {_cid('o_orderkey')} AS chunk_id FROM orders WHERE o_orderstatus <> 'P'), m AS (SELECT * FROM mentions WHERE chunk_id NOT IN (SELECT chunk_id FROM gone)), r AS (SELECT * FROM relations WHERE supporting_chunk_id NOT IN (SELECT chunk_id FROM gone)) "
+_KEPT = f", gone AS (SELECT {_cid('o_orderkey')} AS chunk_id FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT chunk_id FROM nation_), m AS (SELECT * FROM mentions WHERE chunk_id NOT IN (SELECT chunk_id FROM gone)), r AS (SELECT * FROM relations WHERE supporting_chunk_id NOT IN (SELECT chunk_id FROM gone)) "
 
 
 @query(_GRAPH + _KEPT + "SELECT * FROM entities e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.entity_id = e.entity_id) AND NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = e.entity_id) AND NOT EXISTS (SELECT 1 FROM r WHERE r.target_id = e.entity_id)")
 def graph_orphans(spark, sf):
     gone = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(ids.digest(F.lit("chunk"), F.col("o_orderkey").cast("string")).alias("chunk_id"))
+    gone = gone.union(table(spark, sf, "nation").select(ids.digest(F.lit("chunk"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")))))
     m = P.mentions(spark, sf).join(gone, "chunk_id", "left_anti")
     r = P.relations(spark, sf).join(gone.withColumnRenamed("chunk_id", "supporting_chunk_id"), "supporting_chunk_id", "left_anti")
     return graph.orphans(P.entities(spark, sf), m, r)
@@ -529,7 +538,7 @@ _THREE = _ARMS + _FUSE.format("0.7::DOUBLE", "gr.r", "gr")
 
 
 def _arms(spark, sf) -> list[DataFrame]:
-    kw = fusion.ranked(keyword.bm25(P.chunks(spark, sf), TERMS), "keyword", "chunk_id", F.desc("score"))
+    kw = fusion.ranked(keyword.bm25_index(*P.keyword_index(spark, sf), TERMS), "keyword", "chunk_id", F.desc("score"))
     near = knn.knn(_vectors(spark, sf), _asked(spark, sf), fusion.CANDIDATES).withColumnRenamed("vec_id", "chunk_id")
     linked = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
     return [kw, fusion.ranked(near, "vector", "chunk_id", F.asc("distance")), fusion.ranked(linked, "graph", "chunk_id", F.desc("quality"))]

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.functions import ids
+from noteloom.operators import keyword
+from noteloom.sources import shared
+
+
+POSTED = keyword.POSTED.format("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +22,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "source", "lang").alias("heading"), F.col("text").alias("content"))
 
 
+def keyword_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, float | None]:
+    """(index, chunks, their average length) of the documents' chunks, made once for each state of the table and then read."""
+    source = f"{sf_dir}/documents.parquet"
+    at = shared.stored(spark, "postings", source, lambda path: keyword.write_index(keyword.posted(chunks(spark, sf_dir)), path))
+
+    def sizes(path: str) -> None:
+        found = shared.read(spark, at, POSTED).groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("terms"))
+        found.crossJoin(chunks(spark, sf_dir).agg(F.count("*").alias("chunks"))).coalesce(1).write.parquet(path)  # one row each
+
+    terms = shared.read(spark, shared.stored(spark, "postings-sizes", source, sizes), "terms long, chunks long").first()
+    return shared.read(spark, at, POSTED), terms.chunks, terms.terms / terms.chunks if terms.terms else None
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, ordinal, heading_path, text): a line is a paragraph."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.array("source", "lang").alias("heading_path"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))

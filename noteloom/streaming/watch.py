@@ -53,3 +53,16 @@ def debounced(events: DataFrame, gap: str = DEBOUNCE, burst: int = BURST) -> Dat
 def stream(events: DataFrame, gap: str = DEBOUNCE, burst: int = BURST, late: str = "1 second") -> DataFrame:
     """debounced() over a stream; ts must be a timestamp."""
     return debounced(events.withWatermark("ts", late), gap, burst)
+
+
+def dispatch(batches: DataFrame, act, checkpoint: str, **trigger):
+    """A running query that hands each batch of stream() on: act(kind, paths), once for each root's batch in order of its end.
+
+    Paths number fewer than a burst, and bulk batches name none, so what comes to the driver is bounded by the number of batches.
+    """
+
+    def each(df: DataFrame, _: int) -> None:
+        for r in df.orderBy("end", "root").select("kind", "paths").toLocalIterator():
+            act(r.kind, list(r.paths))
+
+    return batches.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -87,6 +87,14 @@ def test_vectors(spark):
     assert str(one("vec_distance_cosine(array(0F), array(1F))")) == "nan" and one("vec_to_json(vec_f32('[1, 2.5]'))") == "[1.000000,2.500000]"
     df = spark.createDataFrame([([127, -128, 5], [1, -1, 1])], "a array<tinyint>, b array<tinyint>")
     assert df.select(V.vec_add_int8(F.col("a"), F.col("b"))).first()[0] == [-128, 127, 6] and df.select(V.vec_sub_int8(F.col("b"), F.col("a"))).first()[0] == [-126, 127, -4]
+    assert one("vec_type(typeof(vec_f32('[1]')))") == "float32" and one("vec_type(typeof(vec_int8('[1, -2]')))") == "int8" and one("vec_type(typeof(vec_bit(X'01')))") == "bit"
+    assert one("vec_quantize_int8(array(0F, 1F, -1F))") == [0, 127, -128] and one("vec_quantize_binary(vec_f32('[1,-1,0,2,0,0,0,3]'))") == [True, False, False, True, False, False, False, True]
+    assert V.VERSION in one("vec_debug()") and str(one("vec_normalize(array(0F, 0F))")) == "[nan, nan]"
+    for wrong in ("vec_distance_l2(array(1F), array(1F, 2F))", "vec_distance_hamming(X'0F', X'F1F1')", "vec_add(array(1F), array(1F, 2F))", "vec_slice(array(1F, 2F), 1, 3)", "vec_slice(array(1F, 2F), 1, 1)", "vec_f32('[]')", "vec_f32('x')", "vec_int8('[300]')", "vec_bit(X'')", "vec_quantize_binary(array(1F))", "vec_type('string')"):
+        with pytest.raises(PySparkException):
+            one(wrong)
+    blob = spark.createDataFrame([(bytearray(np.array([1.5, -2], "<f4").tobytes()), bytearray(b"\x01\xff"))], "f binary, i binary").select(V.vec_f32_blob(F.col("f")).alias("x"), V.vec_int8_blob(F.col("i")).alias("y"), V.vec_to_json_bit(F.col("i")).alias("z"))
+    assert blob.first().x == [1.5, -2.0] and blob.first().y == [1, -1] and blob.first().z == "[1,0,0,0,0,0,0,0,1,1,1,1,1,1,1,1]" and blob.select(V.vec_to_json_int8(F.col("y"))).first()[0] == "[1,-1]"
     bits = spark.createDataFrame([([1.0, -1.0, 0.0, 2.0, 0.0, 0.0, 0.0, 3.0],)], "v array<float>").select(V.pack_bits(V.vec_quantize_binary(F.col("v"))).alias("b"))
     assert bytes(bits.first()[0]) == bytes([0b10001001]) and bits.select(V.vec_length_bits(F.col("b"))).first()[0] == 8
     with pytest.raises(PySparkException):
