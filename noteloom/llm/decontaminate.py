@@ -7,17 +7,17 @@ document is contaminated by an item if it holds one of its strings as whole word
 
 Search: blocks of BLOCK bytes are looked up in a shift table, which tells how far
 the scan may move on before any string can end; where it may not move, the block's
-bucket of strings is selected by the hash of the string's first M bytes (M: the
-length of the shortest), and the bytes are compared directly. Many lanes of
+suffix hash - of the block that ends the strings' first M bytes (M: the length of the shortest) - selects the
+bucket of strings, of which those whose first M bytes have the text's hash are compared byte by byte. Many lanes of
 the text advance together, each by its own shift.
 
-Test strings are broadcast in shards of at most SHARD_BYTES, one scan each, so what a
-task holds does not grow with the benchmark.
+Test strings are broadcast in shards of about SHARD_BYTES, one scan each. With several shards the scans follow one another and
+each broadcast goes before the next comes, so what a task or an executor holds does not grow with the benchmark.
 
 Cases: a null or empty text holds nothing; items without words or without item_id give
 no strings; rows without doc_id are ignored; rows that repeat a doc_id are judged together
-(the windows found count once); items with equal text are all reported. Empty tables
-give an empty result. Other columns are not read.
+(the windows found count once); items with equal text are all reported, and so are all strings that end at one place. Very long texts
+are searched whole. Empty tables give an empty result. Other columns, whatever their names, are kept by drop_contaminated() and not read otherwise.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut, small, texts
+from ._shared import cut, fresh, small, texts
 from ._text import ALNUM, U64, blocks, large, mix, raw
 
 WINDOW = 8
@@ -97,11 +97,11 @@ class Searcher:
         return (mix(x) >> U64(64 - self.bits)).astype(np.int64)
 
     def _head(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """A hash of data[at : at + m]."""
+        """The bucket of data[at : at + m], which is its last block's suffix hash, and beneath it a hash of what precedes."""
         h = np.zeros(len(at), U64)
-        for q in (*range(0, self.m - self.block, self.block), self.m - self.block):
+        for q in range(0, self.m - self.block, self.block):
             h = mix(h * U64(31) + _eights(data, at + q, self.block))
-        return h
+        return self._slot(_eights(data, at + self.m - self.block, self.block)).astype(U64) << U64(40) | h >> U64(24)
 
     def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, string number) of every occurrence."""
@@ -137,15 +137,19 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sha
     spark = docs.sparkSession
     docs = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    parts = []
-    for shard in _shards(items, shard_bytes):
-        patterns, owners = strings(shard, window)
-        if patterns:
-            parts.append(_scan(docs, patterns, owners))
-    empty = spark.createDataFrame(pa.table({"doc_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "window": pa.array([], pa.int32())}))
-    found = empty
-    for p in parts:
-        found = found.unionByName(p)
+    found = spark.createDataFrame(pa.table({"doc_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "window": pa.array([], pa.int32())}))
+    shards = (strings(shard, window) for shard in _shards(items, shard_bytes))
+    before = None
+    for patterns, owners in shards:
+        if not patterns:
+            continue
+        if before is not None:  # not the last one
+            part, shared = before
+            found = found.unionByName(cut(part))
+            shared.unpersist()
+        before = _scan(docs, patterns, owners)
+    if before is not None:
+        found = found.unionByName(before[0])
     return found.groupBy("doc_id", "item_id").agg(F.count_distinct("window").cast("int").alias("n_windows"))
 
 
@@ -162,7 +166,8 @@ def _shards(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
         yield shard
 
 
-def _scan(docs: DataFrame, patterns: list[bytes], owners: list[list[tuple[int, int]]]) -> DataFrame:
+def _scan(docs: DataFrame, patterns: list[bytes], owners: list[list[tuple[int, int]]]) -> tuple[DataFrame, object]:
+    """(doc_id, item_id, window) of what the texts hold, and the broadcast that this needs."""
     shared = docs.sparkSession.sparkContext.broadcast((Searcher(patterns), owners))
 
     def run(batches):
@@ -177,13 +182,14 @@ def _scan(docs: DataFrame, patterns: list[bytes], owners: list[list[tuple[int, i
                     out = sorted({(int(ids[r]), item, p) for r, w in zip(row, which) for item, p in owners[w]})
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "item_id", "window"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, window int")
+    return docs.mapInArrow(run, "doc_id long, item_id long, window int"), shared
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that hold a test string; rows without doc_id or text stay."""
-    bad = cut(occurrences(docs, benchmark, window).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(small(bad), F.col("doc_id").cast("long") == F.col("__bad"), "left_anti")
+    key = fresh(docs, "bad")
+    bad = cut(occurrences(docs, benchmark, window).select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(small(bad), F.col("doc_id").cast("long") == F.col(key), "left_anti")
 
 
 _WORDS = "regexp_extract_all(lower(text), '(?:[a-z0-9]|[^\\x00-\\x7F])+')"
