@@ -12,7 +12,8 @@
 Cases: a text without features (null, empty or under three bytes) has a null score and is
 rejected; rows without doc_id are scored like others; rows that repeat a doc_id are scored one by one, and for the
 sample the least text speaks. Labels that are null, or contradict one another, are ignored. Without any labels, scores are null and
-every document with features is kept. Equal similarities go to the lowest doc_id. An empty table gives an empty result. Other columns are kept by keep_good().
+every document with features is kept. Equal similarities go to the lowest doc_id. Very long texts are read whole. An empty table gives an empty
+result. Other columns, whatever their names, are kept by keep_good() and not read otherwise.
 """
 
 from __future__ import annotations
@@ -103,16 +104,17 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features: int
         part = sure.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = S.cut(chosen)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(S.small(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch, "text"):
-                c = np.minimum(counts(b.column("text"), features), 65535).astype(np.uint16)
+                c = counts(b.column("text"), features)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([x.tobytes() for x in c], pa.binary())], ["doc_id", "quality", "c"])
 
     t = text.mapInArrow(run, "doc_id long, quality int, c binary").toArrow().sort_by("doc_id")
-    c = np.frombuffer(b"".join(t.column("c").to_pylist()), np.uint16).reshape(-1, features).astype(np.float32)
+    S.drop(sure, ids, chosen)
+    c = np.frombuffer(b"".join(t.column("c").to_pylist()), np.float32).reshape(-1, features)
     return t.column("doc_id").to_numpy(), t.column("quality").to_numpy(), c
 
 
@@ -138,8 +140,8 @@ class Voter:
         self.v = latent(x, rank) if len(x) else np.zeros((c.shape[1], 1), np.float32)
         self.ids, self.quality, self.z, self.k = ids, quality.astype(np.float64), unit(x @ self.v), neighbours
 
-    def score(self, ids: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The share of good among the neighbours' votes; NaN where nothing votes. ids: -1 where unknown."""
+    def score(self, ids: np.ndarray, c: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """The share of good among the neighbours' votes; NaN where nothing votes. known: which ids there are, if not all."""
         d = unit(weighted(c, self.idf) @ self.v)
         m = len(self.z)
         out = np.full(len(d), np.nan)
@@ -148,7 +150,8 @@ class Voter:
         k = min(self.k, m)
         for a in range(0, len(d), 512):
             sim = np.round(d[a : a + 512] @ self.z.T, 6)
-            sim[ids[a : a + 512, None] == self.ids[None]] = -1
+            own = ids[a : a + 512, None] == self.ids[None]
+            sim[own if known is None else own & known[a : a + 512, None]] = -1
             order = np.round(sim * 1e6).astype(np.int64) * m - np.arange(m)  # equal similarities: the lower doc_id
             top = np.argpartition(order, m - k, axis=1)[:, m - k :]
             w = np.maximum(np.take_along_axis(sim, top, 1), 0).astype(np.float64)
@@ -166,8 +169,8 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, rank: int = R
 def _score(batch: pa.RecordBatch, voter: Voter) -> tuple[pa.Array, pa.Array]:
     """Scores and decisions for a block of rows with doc_id and text."""
     c = counts(batch.column("text"))
-    ids = np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(-1))
-    score = voter.score(ids, c)
+    ids = batch.column("doc_id").cast(pa.int64())
+    score = voter.score(np.asarray(ids.fill_null(0)), c, np.asarray(ids.is_valid()))
     some = c.any(1)
     keep = some & (score >= LEAST_SCORE if len(voter.z) else True)
     return pa.array(score, mask=np.isnan(score)), pa.array(keep)
@@ -182,7 +185,7 @@ def scores(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
             for b in blocks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_score(b, shared.value)], ["doc_id", "score", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, keep boolean")
+    return S.texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
