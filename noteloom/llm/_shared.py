@@ -54,6 +54,16 @@ def temporary() -> Iterator[list[DataFrame]]:
         _made.pop()
 
 
+def kept(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns as a table, without those that it needed."""
+    with temporary() as made:
+        out = cut(make())
+    drop(*(t for t in made if t is not out))
+    if _made:
+        _made[-1].append(out)
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of cut() that nothing reads any more."""
     for t in tables:

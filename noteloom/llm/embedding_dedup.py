@@ -16,7 +16,7 @@
 Cases: null, empty or zero vectors and vectors with null, NaN or infinite parts are
 in no group; vectors of different dimension are never compared; rows without vec_id are ignored;
 of rows that repeat a vec_id, the one with the lowest digest counts. Ties go to the lowest vec_id. An
-empty table gives an empty result. Other columns are not read.
+empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -177,6 +177,10 @@ def verified(pairs: DataFrame, reps: DataFrame, threshold: float, bound: float =
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rotations: int = ROTATIONS, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(vec_id, group_id, kept) of every vector in a group of two or more; group_id is the lowest vec_id, the one kept."""
+    return S.kept(lambda: _groups(vectors, threshold, recall, rotations, driver_edges))
+
+
+def _groups(vectors: DataFrame, threshold: float, recall: float, rotations: int, driver_edges: int) -> DataFrame:
     coded = encoded(vectors, rotations)
     one = S.cut(coded.groupBy("vec_id").agg(F.min(F.struct("sig", "unit", "code", "factor")).alias("x")).select("vec_id", "x.*"))
     rep = S.cut(one.groupBy("sig").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))

@@ -11,7 +11,7 @@ RULES alone; ALL_SENTENCES and ALL_RULES add the licences' own texts, headers an
 
 Cases: a null or empty text has no licence; rows without doc_id are ignored; rows that
 repeat are scanned one by one and equal results appear once; long texts are scanned
-whole. An empty table gives an empty result. Other columns are not read.
+whole. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@
 
 Cases: a null text is an empty one; a text without words is in no group. Rows
 without doc_id are ignored. Rows that repeat a doc_id are one document, for which the row of the
-lowest digest speaks. Ties go to the lowest doc_id. An empty table gives an empty result. Other columns are not read.
+lowest digest speaks. Ties go to the lowest doc_id. Very long texts are read whole. An empty table gives an empty result. Other columns,
+whatever their names, are kept by keep_one() and not read otherwise.
 """
 
 from __future__ import annotations

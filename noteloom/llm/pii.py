@@ -15,7 +15,7 @@ then to the earlier span.
 Cases: a null or empty text has no findings; every row is searched, whatever its
 doc_id, and a finding of a row without doc_id carries null; rows that repeat each
 report their own findings, equal ones once. Long texts are searched whole. An
-empty table gives an empty result. Other columns are kept by redact() and not read otherwise.
+empty table gives an empty result. Other columns, whatever their names, are kept by redact() and not read otherwise (n_chars follows the text).
 """
 
 from __future__ import annotations
