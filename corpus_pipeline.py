@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm import decontaminate, near_dedup, packing, pii, quality
-from noteloom.llm._shared import cut, table
+from noteloom.llm._shared import cut, drop, table, temporary
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences. What a stage wrote meanwhile goes when its result is stored, and that when the next one's is."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+        before = docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with temporary() as made:
+            docs = cut(stage(spark, docs, sf_dir))
+        drop(before, *(t for t in made if t is not docs))
