@@ -1,4 +1,8 @@
-"""Immutable snapshots: each commit writes the tables that changed and moves one pointer file."""
+"""Immutable snapshots: each commit writes the tables that changed, side by side, and moves one pointer file.
+
+A table is one path, or several where rows were appended. Postings are only appended: what they hold of former chunks is passed over
+by its version until a compaction.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +10,17 @@ import json
 import socket
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom.operators import keyword
+
 TABLES = {
     "documents": "document_id string, path string, content_hash string, modified_at timestamp, title string, resolved_title string, tags array<string>, aliases array<string>, additional string, links array<string>",
-    "chunks": "chunk_id string, document_id string, ordinal int, heading_path array<string>, heading string, content string, content_hash string, occurrence int, embedded_hash string, extracted_hash string",
+    "chunks": "chunk_id string, document_id string, ordinal int, heading_path array<string>, heading string, content string, content_hash string, occurrence int, embedded_hash string, extracted_hash string, length int, posted string",
+    "postings": "term string, chunk_id string, tf_heading int, tf_content int, dl int, version string, bucket int",
     "entities": "entity_id string, type string, canonical_name string, normalized_name string",
     "aliases": "entity_id string, name string, normalized_name string",
     "mentions": "entity_id string, chunk_id string, surface_form string, source string",
@@ -72,22 +80,68 @@ class Store:
             self._fs.delete(self._jpath(f"{self.path}/LOCK"), False)
             self._held = False
 
-    def table(self, name: str) -> DataFrame:
-        at = self.pointers.get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], TABLES[name])
+    def paths(self, name: str) -> list[str]:
+        at = self.pointers.get(name) or []
+        return [f"{self.path}/{x}" for x in ([at] if isinstance(at, str) else at)]
 
-    def commit(self, **tables: DataFrame) -> None:
-        """All of the tables become current at once."""
+    def table(self, name: str) -> DataFrame:
+        at = self.paths(name)
+        parts = [self.spark.read.schema(TABLES[name]).parquet(p) for p in at]
+        out = parts[0] if parts else self.spark.createDataFrame([], TABLES[name])
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _rows(self, name: str, df: DataFrame) -> DataFrame:
+        columns = [c.split(" ")[0] for c in _split(TABLES[name])]
+        kinds = {c.split(" ")[0]: c.split(" ", 1)[1] for c in _split(TABLES[name])}
+        return df.select(*(F.col(c).cast(kinds[c]).alias(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns))
+
+    def put(self, **tables: DataFrame) -> list[DataFrame]:
+        """The tables as they will be after the next commit(), written and read again: what is built on them has short plans and no lineage to lose."""
         if self.read_only:
             raise PermissionError("opened read-only")
-        made = {}
-        for name, df in tables.items():
-            columns = [c.split(" ")[0] for c in _split(TABLES[name])]
-            kinds = {c.split(" ")[0]: c.split(" ", 1)[1] for c in _split(TABLES[name])}
+
+        def write(item: tuple[str, DataFrame]) -> DataFrame:
+            name, df = item
             at = f"{name}/{uuid.uuid4().hex}"
-            df.select(*(F.col(c).cast(kinds[c]).alias(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns)).write.parquet(f"{self.path}/{at}")
-            made[name] = at
-        pointers = self.pointers | made
+            if name == "postings":
+                keyword.write_index(self._rows(name, df), f"{self.path}/{at}")
+            else:
+                self._rows(name, df).write.parquet(f"{self.path}/{at}")
+            out = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{at}")
+            out._noteloom_at = at
+            return out
+
+        with ThreadPoolExecutor(4) as pool:  # small jobs, most of whose time is planning
+            return list(pool.map(write, tables.items()))
+
+    def stage(self, *frames: DataFrame) -> list[DataFrame]:
+        """Frames written beside the tables until the next commit() and read again."""
+        if self.read_only:
+            raise PermissionError("opened read-only")
+
+        def write(df: DataFrame) -> DataFrame:
+            path = f"{self.path}/stage/{uuid.uuid4().hex}"
+            schema = df.schema
+            df.write.parquet(path)
+            return self.spark.read.schema(schema).parquet(path)
+
+        with ThreadPoolExecutor(4) as pool:
+            return list(pool.map(write, frames))
+
+    def commit(self, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> None:
+        """All of the tables become current at once; those to append add their rows to what there is."""
+        if self.read_only:
+            raise PermissionError("opened read-only")
+        append = append or {}
+        every = [*tables.items(), *append.items()]
+        new = {name: df for name, df in every if not hasattr(df, "_noteloom_at")}
+        made = dict(zip(new, (df._noteloom_at for df in self.put(**new)))) | {name: df._noteloom_at for name, df in every if name not in new}
+        pointers = dict(self.pointers)
+        for name, at in made.items():
+            old = pointers.get(name) or []
+            pointers[name] = at if name in tables else [*([old] if isinstance(old, str) else old), at]
         self._write("NEXT", pointers, True)
         current = self._jpath(f"{self.path}/CURRENT")
         jvm = self.spark._jvm
@@ -96,11 +150,15 @@ class Store:
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(self._jpath(f"{self.path}/NEXT"), current, options)
         self.pointers = pointers
+        self._fs.delete(self._jpath(f"{self.path}/stage"), True)
 
     def compact(self) -> None:
-        """Rewrite the tables and delete what is not current."""
-        self.commit(**{n: self.table(n) for n in self.pointers})
-        kept = set(self.pointers.values())
+        """Rewrite the tables, postings without what is passed over, and delete what is not current."""
+        tables = {n: self.table(n) for n in self.pointers}
+        if "postings" in tables:
+            tables["postings"] = tables["postings"].join(self.table("chunks").select("chunk_id", F.col("posted").alias("version")), ["chunk_id", "version"], "left_semi")
+        self.commit(**tables)
+        kept = {p for n in self.pointers for p in ([self.pointers[n]] if isinstance(self.pointers[n], str) else self.pointers[n])}
         for name in self.pointers:
             for entry in self._fs.listStatus(self._jpath(f"{self.path}/{name}")):
                 if f"{name}/{entry.getPath().getName()}" not in kept:
