@@ -250,9 +250,11 @@ def test_pipeline_equals_its_parts(spark):
 
 def test_pipeline_with_odd_rows(spark, tmp_path):
     """Nulls, repeated rows, a very long text, and columns whose names the operators use, through all stages."""
-    good = [f"This is note {i}, which tells of the {w} and what it was for in plain words, again and again, number {i * 7}." for i, w in enumerate(["harbour", "mill", "garden", "bridge", "school", "tower", "market", "station"])]
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("aeinorstlm"), rng.integers(3, 9))) for _ in range(300)]
+    good = [" ".join(rng.choice(words, 30)) + f" is note {i}." for i in range(8)]
     long = " ".join(f"{good[i % 8]} Part {i} follows here." for i in range(4000))
-    rows = [(1, None), (2, ""), (None, good[0] + " No id."), (3, good[1]), (3, good[1]), (4, good[2] + " Mail to ann@mail.example.org."), (5, good[3]), (6, good[3].replace("note 3", "note three")), (7, long), (8, good[4] + " The answer of the secret test is forty two point five exactly."), (9, good[5])]
+    rows = [(1, None), (2, ""), (None, good[0] + " No id."), (3, good[1]), (3, good[1]), (4, good[2] + " Mail to ann@mail.example.org."), (5, good[3]), (6, good[3].replace("note 3", "paper 3")), (7, long), (8, good[4] + " The answer of the secret test is forty two point five exactly."), (9, good[5])]
     extra = ", ".join(f"{c} string" for c in ("id", "_id", "bad", "group_id", "kept", "owner", "score", "seq_id", "n_tokens", "__gone", "__bad"))
     docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), *["x"] * 11) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
