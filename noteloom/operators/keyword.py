@@ -119,9 +119,11 @@ def posted(chunks: DataFrame, stem: bool = False, version: Column | None = None,
 def write_index(rows: DataFrame, path: str, mode: str = "error") -> None:
     """Postings by bucket, in each file by term, so that a query reads its terms' buckets and in them its terms' row groups.
 
-    Ranges end within a term where it has very many chunks, so no term is one task's work.
+    A bucket is split by chunk where there are more partitions than buckets, so a term of very many chunks is no single task's work.
     """
-    rows.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(mode).parquet(path)
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    split = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
+    rows.repartition("bucket", split).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(mode).parquet(path)
 
 
 def bm25_index(index: DataFrame, n: int, average: float | None, terms: list[str], k1: float = K1, b: float = B, heading_weight: int = HEADING_WEIGHT, buckets: int = BUCKETS, alive: DataFrame | None = None) -> DataFrame:
