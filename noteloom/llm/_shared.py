@@ -12,10 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._text import handled, tidy
+
 #: A join side is broadcast when it has no more rows, and its table no more bytes, than this; beyond it the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 8 << 20
 #: Bytes of one Arrow batch of rows with texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes of one Arrow batch of packed records, apart from longer blobs; records that a Packer collects before it packs them.
+PACKED_BYTES, PACKED_RECORDS = 8 << 20, 500_000
 _own: dict[str, str] = {}
 _made: list[list[DataFrame]] = []
 
@@ -121,16 +125,22 @@ def pack(bucket: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
         return
     order = np.argsort(bucket, kind="stable")
     bucket, records = bucket[order], records[order]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    starts = [0, *cuts]
-    blobs = [x.tobytes() for x in np.split(records, cuts)]
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    del order
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+    at = np.append(starts, len(records)) * records.itemsize
+    names, data = bucket[starts].astype(np.int32), records.view(np.uint8)
+    part = at[:-1] // PACKED_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(starts)]
+    for a, b in zip(cuts, cuts[1:]):  # the blobs are slices of the sorted records, not copies
+        offsets = pa.array(at[a : b + 1] - at[a], pa.int32())
+        blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, offsets.buffers()[1], pa.py_buffer(data[at[a] : at[b]])])
+        yield pa.RecordBatch.from_arrays([pa.array(names[a:b]), blobs], ["bucket", "blob"])
 
 
 class Packer:
     """Collects records of one task and packs them when many have come."""
 
-    def __init__(self, n: int, most: int = 1_500_000):
+    def __init__(self, n: int, most: int = PACKED_RECORDS):
         self.n, self.most, self.parts, self.size = n, most, [], 0
 
     def add(self, key: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -140,9 +150,12 @@ class Packer:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            yield from pack(np.concatenate([b for b, _ in self.parts]), np.concatenate([r for _, r in self.parts]))
-        self.parts, self.size = [], 0
+        parts, self.parts, self.size = self.parts, [], 0
+        if parts:
+            key, records = np.concatenate([b for b, _ in parts]), [r for _, r in parts]
+            del parts  # nothing is held twice while it is packed
+            yield from pack(key, np.concatenate(records) if len(records) > 1 else records.pop())
+            tidy()
 
 
 PACKED = "bucket int, blob binary"
@@ -156,7 +169,9 @@ def by_bucket(packed: DataFrame, f: Callable[[np.ndarray], pa.Table | Iterable[p
     """Run f over the records of each bucket."""
 
     def run(t: pa.Table) -> pa.Table:
-        return f(unpack(t, dtype))
+        out = f(unpack(t, dtype))
+        handled(t.nbytes)
+        return out
 
     return packed.groupBy("bucket").applyInArrow(run, schema)
 

@@ -24,6 +24,8 @@ _PINV = pow(_P, -1, 1 << 64)
 _Q = 0xC2B2AE3D27D4EB4F | 1
 _QINV = pow(_Q, -1, 1 << 64)
 BLOCK_BYTES = 1 << 20
+#: Bytes or words of a block that are in work at once: their sums take many times as much.
+STEP = 1 << 17
 
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -32,6 +34,7 @@ SOLID[33:] = True
 
 _tables: dict[int, np.ndarray] = {}
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+_handled = 0
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -76,6 +79,15 @@ def tidy() -> None:
         _trim(0)
 
 
+def handled(n: int, every: int = 16 << 20) -> None:
+    """tidy() whenever n and the bytes before it come to so many: for functions that are called once for each of many small groups."""
+    global _handled
+    _handled += n
+    if _handled >= every:
+        _handled = 0
+        tidy()
+
+
 def raw(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows, and where each row begins (one more entry at the end)."""
     if not len(column):
@@ -108,9 +120,9 @@ class Grid:
     def _words(self) -> np.ndarray:
         out = np.empty(len(self.start), U64)
         first = 0
-        while first < len(self.start):  # in blocks, so that a huge row needs no huge table
+        while first < len(self.start):  # in steps, so that a huge row needs no huge table
             base = self.start[first]
-            last = max(first + 1, int(np.searchsorted(self.start, base + BLOCK_BYTES)))
+            last = max(first + 1, int(np.searchsorted(self.start, base + STEP)))
             s, e = self.start[first:last] - base, self.end[first:last] - base
             piece = self.data[base : base + e[-1]].astype(U64) + U64(1)
             total = np.zeros(len(piece) + 1, U64)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared as S
-from ._text import U64, Grid, blocks, shingle_sets
+from ._text import U64, Grid, blocks, handled, shingle_sets
 
 SHINGLE = 2
 K = 64
@@ -290,6 +290,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, k
                 j = both / (len(x) + len(whole) - both)
                 if j >= threshold - 1e-12:
                     out.append((min(doc[i], owner[i]), max(doc[i], owner[i]), j))
+        handled(t.nbytes)
         a, b, j = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(j, pa.float64())})
 

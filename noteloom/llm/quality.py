@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared as S
-from ._text import U64, Grid, blocks, large, mix, raw
+from ._text import STEP, U64, Grid, blocks, large, mix, raw
 
 FEATURES = 2048
 SHARES = 8
@@ -44,9 +44,8 @@ def counts(column: pa.Array, features: int = FEATURES) -> np.ndarray:
     n, grams = len(column), features - SHARES
     out = np.zeros((n, features), np.float32)
     folded = _FOLD[data]
-    step = 1 << 22
-    for a in range(0, max(0, len(folded) - 2), step):  # in steps, so that one huge text needs no huge arrays
-        x = folded[a : a + step + 2]
+    for a in range(0, max(0, len(folded) - 2), STEP):  # in steps, so that one huge text needs no huge arrays
+        x = folded[a : a + STEP + 2]
         code = (mix(((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]).astype(U64)) % U64(grams)).astype(np.int64)
         place = np.arange(a, a + len(code))
         row = np.searchsorted(at, place, "right") - 1
