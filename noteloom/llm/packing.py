@@ -19,8 +19,9 @@ numbering is distributed over ranges of documents.
 
 Tokens are those of a byte-pair vocabulary, VOCABULARY unless another file is named. The driver reads the file and broadcasts it.
 The vocabulary's pattern never joins what white space parts, so a text's tokens are the sum of those of its words (each with the
-space before it) and of the gaps between, and each distinct word is encoded once. Where there is no such file, tokenizer is None and
-lengths are estimated: one token for each started PER_TOKEN bytes of a run of characters above the space.
+space before it) and of the gaps between, and each distinct word is encoded once. pack() fails where the file that it is given is missing,
+can't be read or is no such vocabulary. Lengths are estimated only for who asks for it with tokenizer None: one token for each started
+PER_TOKEN bytes of a run of characters above the space. lengths() alone, given a path where nothing is, warns and estimates.
 
 Cases: a null or empty text has no piece. Every row is a document, whether its doc_id
 is null or repeated; equal rows are interchangeable. Long texts are cut and lose nothing. Ties between lengths go to the larger one. An
@@ -29,7 +30,7 @@ empty table gives an empty result. Other columns are not read, whatever their na
 
 from __future__ import annotations
 
-import os
+import warnings
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -54,22 +55,37 @@ _UNUSUAL = "[\\x00-\\x08\\x0e-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x
 
 
 def vocabulary(path: str | None = VOCABULARY) -> bytes | None:
-    """A vocabulary file's bytes, if it is there."""
-    if not path or not os.path.exists(path):
+    """A vocabulary file's bytes; None where no file is. One that can't be read or is no byte-pair vocabulary is an error."""
+    if not path:
         return None
-    with open(path, "rb") as f:
-        return f.read()
+    try:
+        with open(path, "rb") as f:
+            ranks = f.read()
+    except FileNotFoundError:
+        return None
+    _ranks(ranks, path)
+    return ranks
 
 
-@lru_cache(maxsize=2)
-def _encoder(ranks: bytes):
+def _ranks(ranks: bytes, path: str = "the vocabulary") -> dict[bytes, int]:
+    """Tokens and their ranks: every single byte, and no rank twice or left out."""
     import base64
 
+    try:
+        found = {base64.b64decode(a, validate=True): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    except ValueError as e:
+        raise ValueError(f"{path} is no byte-pair vocabulary: {e}") from e
+    if not all(bytes([b]) in found for b in range(256)) or sorted(found.values()) != [*range(len(found))]:
+        raise ValueError(f"{path} is no whole byte-pair vocabulary: it lacks bytes or ranks")
+    return found
+
+
+@lru_cache(maxsize=2)
+def _encoder(ranks: bytes):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=_ranks(ranks), special_tokens={})
 
 
 class Counter:
@@ -149,10 +165,17 @@ def estimated(column: pa.Array, per_token: int = PER_TOKEN) -> np.ndarray:
 
 def lengths(docs: DataFrame, tokenizer: str | None = VOCABULARY) -> DataFrame:
     """(doc_id, n): tokens of each row that has any."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
+    ranks = vocabulary(tokenizer)
+    if tokenizer is not None and ranks is None:
+        warnings.warn(f"no vocabulary at {tokenizer!r}: lengths are estimates", stacklevel=2)
+    return _lengths(docs, ranks)
+
+
+def _lengths(docs: DataFrame, ranks: bytes | None) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        count = Counter(shared.value).count if shared.value else estimated
+        count = estimated if shared.value is None else Counter(shared.value).count
         for batch in batches:
             for b in blocks(batch, "text"):
                 n = count(b.column("text"))
@@ -315,13 +338,19 @@ def numbered(pieces: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, context: int = CONTEXT, tokenizer: str | None = VOCABULARY) -> DataFrame:
-    """(seq_id, slot, seq_start, doc_id, piece, start_token, n_tokens): every token of every document in one sequence."""
-    return S.kept(lambda: _packed(docs, context, tokenizer))
+    """(seq_id, slot, seq_start, doc_id, piece, start_token, n_tokens): every token of every document in one sequence.
+
+    tokenizer: a vocabulary file, which must be there; None for estimated lengths.
+    """
+    ranks = vocabulary(tokenizer)
+    if tokenizer is not None and ranks is None:
+        raise FileNotFoundError(f"no vocabulary at {tokenizer!r}; tokenizer=None packs by estimated lengths")
+    return S.kept(lambda: _packed(docs, context, ranks))
 
 
-def _packed(docs: DataFrame, context: int, tokenizer: str | None) -> DataFrame:
+def _packed(docs: DataFrame, context: int, ranks: bytes | None) -> DataFrame:
     spark = docs.sparkSession
-    sized = S.cut(lengths(docs, tokenizer))
+    sized = S.cut(_lengths(docs, ranks))
     pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / context).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * context
     pieces = pieces.select("doc_id", "piece", start.alias("start_token"), F.least(F.lit(context), F.col("n") - start).alias("n_tokens"))
