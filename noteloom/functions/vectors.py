@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VERSION = "v0.1.9"
 
@@ -138,8 +140,20 @@ def vec_normalize(v: Column) -> Column:
     return F.transform(_wide(v), lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, size)))
 
 
+@F.arrow_udf(StringType())
+def _json(v: pa.Array) -> pa.Array:
+    def one(x: list | None) -> str | None:
+        if x is None:
+            return None
+        x = [y for y in x if y is not None]
+        return f"[{','.join(['%.6f'] * len(x)) % tuple(x)}]".replace("nan", "null")
+
+    return pa.array(map(one, v.to_pylist()), pa.string())
+
+
 def vec_to_json(v: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(_wide(v), lambda x: F.when(F.isnan(x), F.lit("null")).otherwise(F.format_string("%.6f", x))), ","), F.lit("]"))
+    """Six decimals of what each part is exactly, ties to the even digit, as C's printf has them: the JVM's formatter rounds ties up, and from the shortest form."""
+    return _json(_wide(v))
 
 
 def vec_to_json_int8(v: Column) -> Column:
@@ -184,7 +198,7 @@ METRICS = {"l2": vec_distance_l2, "l1": vec_distance_l1, "cosine": vec_distance_
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions of the same names, as SQL bodies that Catalyst inlines."""
+    """SQL functions of the same names, as SQL bodies that Catalyst inlines; vec_to_json, which no SQL rounds exactly, is an Arrow function."""
     zero = "CAST(0 AS DOUBLE)"
     fold = lambda x: f"aggregate({x}, {zero}, (t, y) -> t + y)"
     pairs = "zip_with(CAST(a AS ARRAY<DOUBLE>), CAST(b AS ARRAY<DOUBLE>), (x, y) -> {})".format
@@ -211,9 +225,9 @@ def register(spark: SparkSession) -> None:
         f"vec_sub({two}) RETURNS ARRAY<FLOAT>": same("zip_with(a, b, (x, y) -> x - y)"),
         "vec_slice(v ARRAY<FLOAT>, s INT, e INT) RETURNS ARRAY<FLOAT>": "CASE WHEN s < 0 OR s >= e THEN raise_error('a slice needs 0 <= start < end') WHEN e > size(v) THEN raise_error('slice beyond the vector') ELSE slice(v, s + 1, e - s) END",
         "vec_normalize(v ARRAY<FLOAT>) RETURNS ARRAY<DOUBLE>": f"transform(CAST(v AS ARRAY<DOUBLE>), x -> coalesce(try_divide(x, sqrt({squares})), double('NaN')))",
-        "vec_to_json(v ARRAY<FLOAT>) RETURNS STRING": "concat('[', array_join(transform(v, x -> if(isnan(x), 'null', format_string('%.6f', CAST(x AS DOUBLE)))), ','), ']')",
         "vec_quantize_binary(v ARRAY<FLOAT>) RETURNS ARRAY<BOOLEAN>": "CASE WHEN size(v) % 8 <> 0 THEN raise_error('dimensions must be a multiple of 8') ELSE transform(v, x -> x > 0) END",
         "vec_quantize_int8(v ARRAY<FLOAT>) RETURNS ARRAY<TINYINT>": "transform(CAST(v AS ARRAY<DOUBLE>), x -> CAST(if(isnan(x), 127D, greatest(-128D, least(127D, (x + 1) / (2D / 255D) - 128))) AS TINYINT))",
     }
     for head, body in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    spark.udf.register("vec_to_json", _json)

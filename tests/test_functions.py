@@ -105,6 +105,20 @@ def test_vectors(spark):
         V.vec_slice(F.col("a"), 2, 2)
 
 
+def test_json_rounds_as_its_sql_does(spark):
+    import duckdb
+
+    V.register(spark)
+    given = [0.0078125, 0.0234375, -0.0078125, 0.5, 1e20, -0.0, -1e-9, None]  # the first three are ties of six decimals
+    want = duckdb.connect().execute("SELECT '[' || array_to_string(list_transform(?::FLOAT[], lambda x: printf('%.6f', x::DOUBLE)), ',') || ']'", [given]).fetchone()[0]
+    df = spark.createDataFrame([(given,), (None,), ([float("nan")],)], "v array<float>")
+    for column in (V.vec_to_json(F.col("v")), F.expr("vec_to_json(v)")):
+        assert [r[0] for r in df.select(column).collect()] == [want, None, "[null]"]
+    assert want.startswith("[0.007812,0.023438,-0.007812,")
+    exact = spark.createDataFrame([([5e-7, 123456789012.123456],)], "v array<double>").select(V.vec_to_json(F.col("v"))).first()[0]
+    assert exact == "[0.000000,123456789012.123459]"
+
+
 def test_knn_limits_and_table_definitions(spark):
     v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in knn.knn(v, [0.0, 0.0], 3).collect()] == [1, 2, 4] and knn.knn(v, [0.0, 0.0], 0).count() == 0
