@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from noteloom.functions.ids import fold, fold_py
 
@@ -39,17 +44,66 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def postings(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(term, chunk_id, tf_heading, tf_content) of chunks (chunk_id, heading, content); of some terms only, if given."""
+#: Rows of one batch of counts.
+COUNTS = 1 << 17
+
 
-    def marked(column: str, heading: int) -> Column:
-        return F.transform(tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(heading).alias("heading")))
+def counted(chunks: DataFrame, *more: Column | str) -> DataFrame:
+    """(chunk_id, more, dl, term, tf_heading, tf_content) of each row of chunks (chunk_id, heading, content).
+
+    A row's tokens are counted where it is read: what goes on is a row for each of its terms, and nothing is shuffled.
+    """
+    joined = lambda c: F.array_join(tokens(F.col(c)), " ")
+    read = chunks.select("chunk_id", *more, joined("heading").alias("__h"), joined("content").alias("__c"))
+    kept = read.schema.names[:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, (head, body) = batch.select(kept), (batch.column(c).to_pylist() for c in ("__h", "__c"))
+            row, dl, term, in_head, in_body = [], [], [], [], []
+
+            def made() -> pa.RecordBatch:  # noqa: B023
+                found = own.take(pa.array(np.repeat(np.array([r for r, _ in row], np.int64), [n for _, n in row])))  # noqa: B023
+                counts = [pa.array(np.repeat(np.array(dl, np.int32), [n for _, n in row])), pa.array(term, pa.string()), pa.array(in_head, pa.int32()), pa.array(in_body, pa.int32())]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*found.columns, *counts], [*kept, "dl", "term", "tf_heading", "tf_content"])
+
+            for r in range(len(head)):
+                h, c = (Counter(x[r].split(" ") if x[r] else ()) for x in (head, body))
+                dl.append(h.total() + c.total())
+                before = len(term)
+                for t, n in h.items():
+                    term.append(t)
+                    in_head.append(n)
+                    in_body.append(c.pop(t, 0))
+                term.extend(c)
+                in_head.extend([0] * len(c))
+                in_body.extend(c.values())
+                row.append((r, len(term) - before))
+                if len(term) >= COUNTS:
+                    yield made()
+                    row, dl, term, in_head, in_body = [], [], [], [], []
+            if term:
+                yield made()
+
+    kinds = [f for f in read.schema.fields if f.name in kept]
+    return read.mapInArrow(run, StructType([*kinds, StructField("dl", IntegerType()), StructField("term", StringType()), StructField("tf_heading", IntegerType()), StructField("tf_content", IntegerType())]))
+
+
+def _added(counts: DataFrame, *keys: str) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("tf_heading").cast("int").alias("tf_heading"), F.sum("tf_content").cast("int").alias("tf_content"))
+
+
+def repeats(chunks: DataFrame) -> bool:
+    """Whether a chunk_id comes more than once: only then must the counts of several rows be added up."""
+    return not chunks.groupBy("chunk_id").count().filter("count > 1").isEmpty()
 
-    parts = F.concat(marked("heading", 1), marked("content", 0))
+
+def postings(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(term, chunk_id, tf_heading, tf_content) of chunks (chunk_id, heading, content); of some terms only, if given."""
+    each = counted(chunks)
     if only is not None:
-        parts = F.filter(parts, lambda p: p["term"].isin(*only) if only else F.lit(False))
-    each = chunks.select("chunk_id", F.explode(parts).alias("p"))
-    return each.groupBy(F.col("p.term").alias("term"), "chunk_id").agg(F.sum("p.heading").cast("int").alias("tf_heading"), F.sum(1 - F.col("p.heading")).cast("int").alias("tf_content"))
+        each = each.filter(F.col("term").isin(*only) if only else F.lit(False))
+    return _added(each, "term", "chunk_id") if repeats(chunks) else each.select("term", "chunk_id", "tf_heading", "tf_content")
 
 
 def doc_freq(posted: DataFrame) -> DataFrame:
@@ -104,15 +158,12 @@ def posted(chunks: DataFrame, stem: bool = False, version: Column | None = None,
 
     dl is the chunk's length, so that a query needs no other table of chunks; version tells which state of the chunk this is.
     """
-    head, body = tokens(F.col("heading")), tokens(F.col("content"))
-    read = chunks.select("chunk_id", head.alias("h"), body.alias("c"), (version if version is not None else F.lit(None)).cast("string").alias("version"))
-    part = lambda column, heading: F.transform(F.col(column), lambda t: F.struct(t.alias("term"), F.lit(heading).alias("heading")))
-    each = read.select("chunk_id", "version", (F.size("h") + F.size("c")).alias("dl"), F.explode(F.concat(part("h", 1), part("c", 0))).alias("p"))
-    each = each.select("chunk_id", "version", "dl", "p.term", "p.heading")
-    counts = lambda df: df.groupBy("term", "chunk_id", "dl", "version").agg(F.sum("tf_heading").cast("int").alias("tf_heading"), F.sum("tf_content").cast("int").alias("tf_content"))
-    out = counts(each.select("*", F.col("heading").alias("tf_heading"), (1 - F.col("heading")).alias("tf_content")))
+    out = counted(chunks, (version if version is not None else F.lit(None)).cast("string").alias("version"))
+    keys = ("term", "chunk_id", "dl", "version")
     if stem:
-        out = counts(stemmed(out).drop("term").withColumnRenamed("stem", "term"))
+        out = _added(stemmed(out).drop("term").withColumnRenamed("stem", "term"), *keys)
+    elif repeats(chunks):
+        out = _added(out, *keys)
     return out.select("term", "chunk_id", "tf_heading", "tf_content", "dl", "version", bucket(F.col("term"), buckets).alias("bucket"))
 
 
@@ -122,8 +173,8 @@ def write_index(rows: DataFrame, path: str, mode: str = "error") -> None:
     A bucket is split by chunk where there are more partitions than buckets, so a term of very many chunks is no single task's work.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    split = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
-    rows.repartition("bucket", split).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(mode).parquet(path)
+    place = F.col("bucket") * parts + F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")
+    rows.repartitionById(BUCKETS * parts, place).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode(mode).parquet(path)
 
 
 def bm25_index(index: DataFrame, n: int, average: float | None, terms: list[str], k1: float = K1, b: float = B, heading_weight: int = HEADING_WEIGHT, buckets: int = BUCKETS, alive: DataFrame | None = None) -> DataFrame:

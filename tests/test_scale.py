@@ -4,7 +4,9 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from noteloom.operators import keyword
 from noteloom.streaming import watch
 
 
@@ -35,3 +37,37 @@ def test_a_batch_is_cut_into_sessions_in_many_tasks(spark, burst, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
     assert len(want) > 40 and "Sessions" not in plan(found)  # a session's rows are never put in one task
     assert found.select("n_paths").schema == watch.debounced(events.limit(0), "1 second", burst).select("n_paths").schema and watch.debounced(events.limit(0)).count() == 0
+
+
+def test_a_row_counts_its_own_terms(spark):
+    rows = [(1, "Red fox", "Fox, fox! ÉTÉ x_y"), (2, None, ""), (3, "", "a " * 1000 + "b"), (4, "only head", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, heading string, content string")
+    want = {("red", 1, 1, 0), ("fox", 1, 1, 2), ("ete", 1, 0, 1), ("x", 1, 0, 1), ("y", 1, 0, 1), ("a", 3, 0, 1000), ("b", 3, 0, 1), ("only", 4, 1, 0), ("head", 4, 1, 0)}
+    found = keyword.postings(chunks)
+    assert found.count() == len(want) and set(map(tuple, found.collect())) == want
+    assert "Exchange" not in plan(found) and "Exchange" not in plan(keyword.posted(chunks))  # no count is moved
+    assert set(map(tuple, keyword.postings(chunks, only=["fox", "b"]).collect())) == {("fox", 1, 1, 2), ("b", 3, 0, 1)} and keyword.postings(chunks, only=[]).count() == 0
+    assert {(r.chunk_id, r.dl, r.version) for r in keyword.posted(chunks, version=F.lit("v")).collect()} == {(1, 7, "v"), (3, 1001, "v"), (4, 2, "v")}
+    twice = chunks.union(chunks.filter("chunk_id = 1"))  # rows of one chunk are added up
+    assert set(map(tuple, keyword.postings(twice).collect())) == {(t, c, h * (1 + (c == 1)), n * (1 + (c == 1))) for t, c, h, n in want}
+    assert keyword.posted(twice).filter("term = 'fox'").select("tf_heading", "tf_content").collect() == [(2, 4)]
+
+
+def test_small_batches_lose_no_counts(spark, monkeypatch):
+    monkeypatch.setattr(keyword, "COUNTS", 1, raising=False)
+    chunks = spark.range(300).selectExpr("id AS chunk_id", "'h' AS heading", "concat('x ', id, ' y') AS content").coalesce(1)
+    assert keyword.postings(chunks).count() == 1200 and keyword.doc_freq(keyword.postings(chunks)).filter("df = 300").count() == 3
+
+
+def test_an_index_is_written_in_equal_shares(spark, tmp_path):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", 4 * keyword.BUCKETS)
+    try:
+        rows = keyword.posted(spark.range(4000).selectExpr("id AS chunk_id", "'' AS heading", "concat_ws(' ', transform(sequence(1, 64), k -> concat('t', k))) AS content"))
+        keyword.write_index(rows, str(tmp_path / "index"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    files = sorted((tmp_path / "index").glob("bucket=*/*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 64 * 4000
+    written = {p.name.split("-")[1] for p in files}  # the tasks
+    assert len(written) == len(files) == 4 * len({p.parent for p in files})  # one file a task, so that no task has several buckets' rows
