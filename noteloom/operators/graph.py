@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,21 +12,32 @@ from pyspark.sql import functions as F
 from noteloom.functions.ids import match_key_py
 from noteloom.functions.providers import ENTITY_TYPES, RELATION_TYPES
 from noteloom.operators.knn import similarity
+from noteloom.sources import shared
+
+#: Rows, or a function that gives at least those of some entities (entity_id): what a large source can find without making all its rows.
+Rows = DataFrame | Callable[[DataFrame], DataFrame]
 
 RESOLVE, ADJUDICATE, NEAREST = 0.92, 0.75, 10
 FROM_EXTRACTION, FROM_FRONT_MATTER = "extraction", "front_matter"
 
 
+def _of(rows: Rows, ids: DataFrame) -> DataFrame:
+    return rows(ids) if callable(rows) else rows
+
+
 def names(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(key, entity_id): every name an entity goes by."""
     return entities.select(F.col("normalized_name").alias("key"), "entity_id").unionByName(aliases.select(F.col("normalized_name").alias("key"), "entity_id")).distinct()
 
 
-def lookup(entities: DataFrame, aliases: DataFrame, mentions: DataFrame, keys: DataFrame) -> DataFrame:
+def lookup(entities: DataFrame, aliases: DataFrame, mentions: Rows, keys: DataFrame) -> DataFrame:
     """(key, entity_id, type, canonical_name, aliases, mentions) of the entities named by keys (key)."""
-    hit = names(entities, aliases).join(keys.select("key").distinct(), "key", "left_semi")
-    all_aliases = aliases.join(hit.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.array_sort(F.collect_list("name")).alias("aliases"))
-    counted = mentions.join(hit.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("mentions"))
+    settled = shared.settled if callable(mentions) else lambda rows: rows
+    asked = settled(keys.select(F.col("key").alias("normalized_name")).distinct())
+    hit = settled(names(*(x.join(asked, "normalized_name", "left_semi") for x in (entities, aliases))))
+    found = settled(hit.select("entity_id").distinct())
+    all_aliases = aliases.join(found, "entity_id", "left_semi").groupBy("entity_id").agg(F.array_sort(F.collect_list("name")).alias("aliases"))
+    counted = _of(mentions, found).join(found, "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("mentions"))
     out = hit.join(entities.select("entity_id", "type", "canonical_name"), "entity_id").join(all_aliases, "entity_id", "left").join(counted, "entity_id", "left")
     return out.select("key", "entity_id", "type", "canonical_name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
 
@@ -37,27 +49,32 @@ def ends(relations: DataFrame) -> DataFrame:
     return relations.select(both, "supporting_chunk_id", "confidence").select("e.*", "supporting_chunk_id", "confidence")
 
 
-def neighbors(relations: DataFrame, seeds: DataFrame) -> DataFrame:
+def neighbors(relations: Rows, seeds: DataFrame) -> DataFrame:
     """The relations that touch a seed (entity_id) at either end, each once."""
-    touched = ends(relations.withColumn("supporting_chunk_id", F.struct(*relations.columns)).withColumn("confidence", F.lit(1.0)))
-    hit = touched.join(seeds.select("entity_id").distinct(), "entity_id", "left_semi")
-    return hit.select("supporting_chunk_id.*").dropDuplicates(["relation_id"])
+    ids = seeds.select("entity_id").distinct()
+    if callable(relations):
+        ids = shared.settled(ids)
+    rows = _of(relations, ids)
+    columns = rows.columns
+    for end in ("source", "target"):
+        rows = rows.join(ids.select(F.col("entity_id").alias(f"__{end}")), F.col(f"{end}_id") == F.col(f"__{end}"), "left")
+    return rows.filter("__source is not null or __target is not null").select(*columns)
 
 
-def expand(mentions: DataFrame, relations: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+def expand(mentions: Rows, relations: Rows, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(chunk_id, hop, confidence): chunks that mention a seed are hop 0; chunks that support a relation of the frontier are the next hop.
 
     A chunk keeps its first hop and its best confidence there. Edges are walked either way, and no entity twice.
     """
-    frontier = seeds.select("entity_id").distinct()
+    settled = shared.settled if callable(mentions) or callable(relations) else lambda ids: ids
+    frontier = settled(seeds.select("entity_id").distinct())
     visited = frontier
-    found = [mentions.join(frontier, "entity_id", "left_semi").select("chunk_id", F.lit(0).alias("hop"), F.lit(1.0).alias("confidence"))]
-    both = ends(relations)
+    found = [_of(mentions, frontier).join(frontier, "entity_id", "left_semi").select("chunk_id", F.lit(0).alias("hop"), F.lit(1.0).alias("confidence"))]
     for hop in range(1, hops + 1):
-        step = both.join(frontier, "entity_id", "left_semi")
+        step = ends(_of(relations, frontier)).join(frontier, "entity_id", "left_semi")
         found.append(step.select(F.col("supporting_chunk_id").alias("chunk_id"), F.lit(hop).alias("hop"), "confidence"))
         if hop < hops:
-            frontier = step.select(F.col("other_id").alias("entity_id")).distinct().join(visited, "entity_id", "left_anti")
+            frontier = settled(step.select(F.col("other_id").alias("entity_id")).distinct().join(visited, "entity_id", "left_anti"))
             visited = visited.unionByName(frontier)
     best = F.min(F.struct("hop", (-F.col("confidence")).alias("less"))).alias("x")
     return reduce(DataFrame.unionByName, found).groupBy("chunk_id").agg(best).select("chunk_id", "x.hop", (-F.col("x.less")).alias("confidence"))
@@ -67,13 +84,12 @@ def chunk_rank(expanded: DataFrame, limit: int = 50) -> DataFrame:
     return expanded.orderBy("hop", F.desc("confidence"), "chunk_id").limit(limit)
 
 
-def orphans(entities: DataFrame, mentions: DataFrame, relations: DataFrame) -> DataFrame:
-    """Entities that no mention and no relation holds."""
-    own = F.struct(*entities.columns)
-    used = mentions.select("entity_id").unionByName(relations.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")))
-    rows = entities.select("entity_id", own.alias("own"), F.lit(False).alias("used")).unionByName(used.select("entity_id", F.lit(True).alias("used")), allowMissingColumns=True)
-    found = rows.groupBy("entity_id").agg(F.max("own").alias("own"), F.max("used").alias("used"))
-    return found.filter("own is not null and not used").select("own.*")
+def orphans(entities: DataFrame, mentions: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Entities that no mention (entity_id) and no relation holds, each row of them."""
+    used = mentions.select("entity_id")
+    if relations is not None:
+        used = used.unionByName(relations.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")))
+    return entities.join(used.distinct(), "entity_id", "left_anti").select(*entities.columns)
 
 
 def clear_extraction(mentions: DataFrame, relations: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

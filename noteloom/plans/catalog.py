@@ -439,6 +439,14 @@ expanded AS (SELECT chunk_id, hop, max(confidence) AS confidence FROM steps GROU
 """
 
 
+def _mentions(spark, sf):
+    return lambda entities: P.mentions(P.near(spark, sf, entities))
+
+
+def _relations(spark, sf):
+    return lambda entities: P.relations(P.near(spark, sf, entities))
+
+
 def _seeds(spark, sf) -> DataFrame:
     return P.aliases(spark, sf).filter(F.col("normalized_name").isin("p1", "s1")).select("entity_id").distinct()
 
@@ -453,22 +461,22 @@ SELECT key, entity_id, type, canonical_name, coalesce((SELECT string_agg(name, '
 FROM names JOIN entities e USING (entity_id) WHERE key IN ('p1', 'p2', 's3', 'france', 'customer 000000001')""")
 def graph_entity_lookup(spark, sf):
     keys = spark.createDataFrame([(k,) for k in ("p1", "p2", "s3", "france", "customer 000000001")], "key string")
-    return graph.lookup(P.entities(spark, sf), P.aliases(spark, sf), P.mentions(spark, sf), keys).withColumn("aliases", F.array_join("aliases", ","))
+    return graph.lookup(P.entities(spark, sf), P.aliases(spark, sf), _mentions(spark, sf), keys).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query(_GRAPH + "SELECT relation_id, source_id, type, target_id, supporting_chunk_id, confidence FROM relations WHERE source_id IN (SELECT entity_id FROM seeds) OR target_id IN (SELECT entity_id FROM seeds)")
 def graph_neighbors(spark, sf):
-    return graph.neighbors(P.relations(spark, sf), _seeds(spark, sf)).select("relation_id", "source_id", "type", "target_id", "supporting_chunk_id", "confidence")
+    return graph.neighbors(_relations(spark, sf), _seeds(spark, sf)).select("relation_id", "source_id", "type", "target_id", "supporting_chunk_id", "confidence")
 
 
 @query(_EXPAND + "SELECT * FROM expanded")
 def graph_two_hop(spark, sf):
-    return graph.expand(P.mentions(spark, sf), P.relations(spark, sf), _seeds(spark, sf), 2)
+    return graph.expand(_mentions(spark, sf), _relations(spark, sf), _seeds(spark, sf), 2)
 
 
 @query(_EXPAND + "SELECT * FROM expanded ORDER BY hop, confidence DESC, chunk_id LIMIT 50")
 def graph_chunk_rank(spark, sf):
-    return graph.chunk_rank(graph.expand(P.mentions(spark, sf), P.relations(spark, sf), _seeds(spark, sf), 2))
+    return graph.chunk_rank(graph.expand(_mentions(spark, sf), _relations(spark, sf), _seeds(spark, sf), 2))
 
 
 _KEPT = f", gone AS (SELECT {_cid('o_orderkey')} AS chunk_id FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT chunk_id FROM nation_), m AS (SELECT * FROM mentions WHERE chunk_id NOT IN (SELECT chunk_id FROM gone)), r AS (SELECT * FROM relations WHERE supporting_chunk_id NOT IN (SELECT chunk_id FROM gone)) "
@@ -476,11 +484,8 @@ _KEPT = f", gone AS (SELECT {_cid('o_orderkey')} AS chunk_id FROM orders WHERE o
 
 @query(_GRAPH + _KEPT + "SELECT * FROM entities e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.entity_id = e.entity_id) AND NOT EXISTS (SELECT 1 FROM r WHERE r.source_id = e.entity_id) AND NOT EXISTS (SELECT 1 FROM r WHERE r.target_id = e.entity_id)")
 def graph_orphans(spark, sf):
-    gone = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(ids.digest(F.lit("chunk"), F.col("o_orderkey").cast("string")).alias("chunk_id"))
-    gone = gone.union(table(spark, sf, "nation").select(ids.digest(F.lit("chunk"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")))))
-    m = P.mentions(spark, sf).join(gone, "chunk_id", "left_anti")
-    r = P.relations(spark, sf).join(gone.withColumnRenamed("chunk_id", "supporting_chunk_id"), "supporting_chunk_id", "left_anti")
-    return graph.orphans(P.entities(spark, sf), m, r)
+    gone = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select("o_orderkey")
+    return graph.orphans(P.entities(spark, sf), P.held(spark, sf, gone))
 
 
 ASKED = "Does Supplier 000000001 ship P12 to France, or P3?"
@@ -493,8 +498,9 @@ def graph_ngram_seeds(spark, sf):
 
 @query(_GRAPH + f"SELECT DISTINCT entity_id FROM mentions WHERE chunk_id IN (SELECT {_cid('o_orderkey')} FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10))")
 def graph_chunk_seeds(spark, sf):
-    best = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select(ids.digest(F.lit("chunk"), F.col("o_orderkey").cast("string")).alias("chunk_id"))
-    return P.mentions(spark, sf).join(best, "chunk_id", "left_semi").select("entity_id").distinct()
+    best = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey")
+    near = P.near_orders(spark, sf, best)
+    return P.mentions(near).select("entity_id").distinct()
 
 
 @query("SELECT p_partkey, CASE lower(p_type) WHEN 'component' THEN 'Component' WHEN 'person' THEN 'Person' WHEN 'concept' THEN 'Concept' WHEN 'project' THEN 'Project' WHEN 'technology' THEN 'Technology' WHEN 'document' THEN 'Document' END AS type FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'concept' WHEN 2 THEN 'Component' ELSE p_type END AS p_type FROM part)")

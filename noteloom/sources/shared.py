@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of keys that are broadcast; more of them are joined by a shuffle.
+FEW = 200_000
 _own: dict[str, str] = {}
 
 
@@ -56,3 +60,14 @@ def stored(spark: SparkSession, name: str, source: str, make: Callable[[str], No
 
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
+
+
+def settled(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df's rows, of a few narrow columns, worked out once: at hand and for broadcast if they are few, else a table in the shared folder."""
+    most, spark = FEW if most is None else most, df.sparkSession
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        return F.broadcast(spark.createDataFrame(rows, df.schema))
+    path = f"{folder(spark)}/noteloom-settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,10 +3,15 @@
 import datetime
 import random
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from noteloom.operators import keyword
+from noteloom.functions import ids as ids_
+from noteloom.operators import graph, keyword
+from noteloom.plans import catalog
+from noteloom.plans import projection as P
+from noteloom.sources import shared
 from noteloom.streaming import watch
 
 
@@ -71,3 +76,42 @@ def test_an_index_is_written_in_equal_shares(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "index")).count() == 64 * 4000
     written = {p.name.split("-")[1] for p in files}  # the tasks
     assert len(written) == len(files) == 4 * len({p.parent for p in files})  # one file a task, so that no task has several buckets' rows
+
+
+@pytest.mark.parametrize("few", [200_000, 3])  # keys at hand, and keys in tables
+def test_rows_near_entities_are_all_that_touch_them(spark, few, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "FEW", few, raising=False)
+    monkeypatch.setitem(shared._own, "at", str(tmp_path))
+    whole = P.tables(spark, oracle.SF)
+    relations, mentions = P.relations(whole), P.mentions(whole)
+    asked = [("part-of", 3), ("uses", 3), ("related-to", 3)]  # suppliers, customers, nations, regions and parts among their ends
+    ends = [r for kind, n in asked for r in relations.filter(F.col("type") == kind).orderBy("relation_id").limit(n).collect()]
+    ids = spark.createDataFrame([(x,) for x in sorted({x for r in ends for x in (r.source_id, r.target_id)})], "entity_id string")
+    near = P.near(spark, oracle.SF, ids)
+    known = {r.entity_id for r in ids.collect()}
+    touching = lambda df: sorted(tuple(r) for r in df.collect() if {r.source_id, r.target_id} & known)
+    assert touching(P.relations(near).select(relations.columns)) == touching(relations)
+    assert sorted(map(tuple, P.mentions(near).join(ids, "entity_id", "left_semi").collect())) == sorted(map(tuple, mentions.join(ids, "entity_id", "left_semi").collect()))
+    assert near("lineitem").count() < whole("lineitem").count() / 2
+    orders = whole("orders").filter("o_orderkey < 7").select("o_orderkey")
+    want = mentions.join(orders.select(ids_.digest(F.lit("chunk"), F.col("o_orderkey").cast("string")).alias("chunk_id")), "chunk_id", "left_semi").select(mentions.columns)
+    assert sorted(map(tuple, P.mentions(P.near_orders(spark, oracle.SF, orders)).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+@pytest.mark.parametrize("name", ["graph_neighbors", "graph_chunk_rank", "graph_entity_lookup", "graph_chunk_seeds"])
+def test_a_question_about_few_entities_does_not_shuffle_all_lines(spark, name):
+    assert "lineitem" not in plan(catalog.QUERIES[name](spark, oracle.SF))  # it was scanned for the keys asked for, and nothing else
+
+
+def test_entities_of_one_id_are_all_orphans(spark):
+    entities = spark.createDataFrame([("1", "a"), ("1", "a"), ("1", "b"), ("2", "c"), ("3", "d"), ("4", "e")], "entity_id string, canonical_name string")
+    mentions = spark.createDataFrame([("2",), ("2",), ("9",)], "entity_id string")
+    relations = spark.createDataFrame([("3", "9")], "source_id string, target_id string")
+    assert sorted(map(tuple, graph.orphans(entities, mentions, relations).collect())) == [("1", "a"), ("1", "a"), ("1", "b"), ("4", "e")]
+
+
+def test_equal_relations_are_all_neighbors(spark):
+    rows = [("r", "1", "2"), ("r", "1", "2"), ("q", "2", "1"), ("p", "2", "3"), ("o", "1", "1")]
+    relations = spark.createDataFrame(rows, "relation_id string, source_id string, target_id string")
+    seeds = spark.createDataFrame([("1",), ("1",)], "entity_id string")
+    assert sorted(map(tuple, graph.neighbors(relations, seeds).collect())) == sorted(r for r in rows if r[0] != "p")
